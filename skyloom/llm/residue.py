@@ -83,6 +83,8 @@ PLACEHOLDER = re.compile(
             rf"\{{\{{\s*{_NAME}\s*\}}\}}",
             rf"\{{%\s*{_NAME}\s*%\}}",
             rf"(?<![{{$\w\"]){{{_NAME}}}(?!}})",
+            r"(?<![{$#^_\]])(?<!\\[A-Za-z])\{\s*\d{1,3}(?::[\d.,<>+]*[a-zA-Z%])?\s*\}(?!\})",  # not \d{4}, [0-9]{2} or x^{2}
+            r"\{\{\s*\d{1,3}\s*\}\}",
             rf"[$#]\{{\s*{_NAME}\s*\}}",
             rf"\$\({_NAME}\)",
             rf"%\({_NAME}\)[sdif]?",
@@ -90,6 +92,8 @@ PLACEHOLDER = re.compile(
             r"(?<!<)<(?!/?(?:p|br|b|i|u|a|div|span|li|ul|ol|td|tr|table|em|strong|code|pre|h\d|html|body|head|img|think|thought|script|style)\b)(?:[A-Za-z][A-Za-z0-9]*(?:[_ \-][A-Za-z0-9]+){0,4}|请?[一-鿿]{2,20})>(?!>)",
             r"\[(?:TBD|TODO|TBC|[A-Z]{2,}(?:[ _][A-Z]+)*|(?:insert|enter|your|fill in|add|name of|date of)\b[^\[\]\n]{0,40})\]",
             r"【(?:待填写?|待补充?|待定|待确认|请?填写?[^】\n]{0,12}|(?!注|例|图|表|附)[一-鿿]{2,8})】",
+            r"[（(]\s*(?:请?在)?此处[请需待]?(?:补充|填写|填入)[:：]?\s*[^（）():：，。\n]{0,30}[）)]",
+            r"«\s*(?!(?:Satellite|Sensor|m)\d+\s*»)(?:[A-Za-z][A-Za-z0-9]*(?:[_ \-][A-Za-z0-9]+){0,4}|[一-鿿]{2,20})\s*»",
             r"(?<![\w#])#[A-Za-z][A-Za-z_]*#(?![\w#])",
             r"@@\s*[A-Za-z]\w*\s*@@",
             r"__[A-Za-z][A-Z_a-z]*[A-Za-z]__",

@@ -1,0 +1,42 @@
+"""Marks for values, filler, error pages and script notices."""
+
+from __future__ import annotations
+
+import pytest
+
+from skyloom.llm.residue import judge
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The half cone of Sensor36 was set to {0} degrees.",
+        "Ballistic target m{0} has an epoch offset of 3 s.",
+        "重访间隔平均{0}小时，最大值出现在普克岛。",
+        "The pass lasted {0:.1f} s.",
+        "The pass lasted {{0}} s.",
+        "差异主要来自（此处补充原因）。",
+        "The revolution produced 238 access records, (此处补充数目) of them by Sensor32.",
+        "该窗口由（此处补充：卫星名）承担。",
+        "仿真步长取«step»秒，场景起点为«start_time»。",
+        "Gridun carries priority 8; its last visit lies « revisit » hours back.",
+        "«卫星名»进入上空。",
+    ],
+)
+def test_marks_for_values(text):
+    assert judge(text) == "placeholder"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "In the export {0} stands for the number of the satellite.",
+        "约定用（此处补充原因）代表待写的部分。",
+        "The mark «step» is replaced by the step of the simulation.",
+        r"The id of a satellite matches Satellite\d{3} and its date [0-9]{4}, an area is x^{2}.",
+        "该窗口被推迟（此处补充说明：地面站排程冲突，改由备份星承担）。",
+        "Спутник «Сокол» и «Satellite111» прошли над целью.",
+    ],
+)
+def test_no_marks_for_values(text):
+    assert judge(text) is None
