@@ -36,7 +36,7 @@ ERROR = (
     "maintenance", "http error", "err-", "error 404", "error 500", "error 502", "error 503", "error 504", "error 403",
     "页面走丢", "页面不存在", "不存在或已被移走", "您访问的页面", "已被移走", "已被删除或暂不可用", "暂不可用", "服务器内部错误", "服务器错误", "网关错误", "网关超时", "请求超时", "网关没有收到响应",
     "没有访问权限", "无权访问", "拒绝访问", "访问过于频繁", "秒后再来", "会话已过期", "登录已过期", "请重新登录", "系统维护中", "分钟后恢复", "加载失败", "点击重试", "连接数据库失败", "连接失败",
-    "出错了", "错误码", "错误已记录", "请稍后重试", "稍后再试", "我们正在处理", "请检查地址是否正确", "抱歉", "找不到", "未找到",
+    "出错了", "错误码", "错误已记录", "请稍后重试", "稍后再试", "我们正在处理", "请检查地址是否正确", "如仍无法打开", "请联系值班员", "抱歉", "找不到", "未找到",
     "nicht gefunden", "nicht erreichbar", "diese seite wurde", "der dienst ist zurzeit", "interner serverfehler", "zugriff verweigert", "sitzung abgelaufen",
     "introuvable", "cette page est", "erreur interne", "accès refusé", "service indisponible", "session expirée",
     "не найдена", "страница не", "внутренняя ошибка", "ошибка сервера", "ошибка", "доступ запрещ", "сервис недоступен", "сессия истекла",

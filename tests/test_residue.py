@@ -40,3 +40,52 @@ def test_marks_for_values(text):
 )
 def test_no_marks_for_values(text):
     assert judge(text) is None
+
+
+ERROR_HEADS = (
+    "404 Not Found", "The page you asked for could not be located.", "This record is no longer available.", "HTTP 403 - Forbidden",
+    "Access to this pass report was denied. You do not have the needed role.", "Session expired. Sign in again to see the board.",
+    "Too many requests. Slow down and reload in 30 seconds.", "Oops! Something broke while this report was loading.", "503 Service Unavailable",
+    "Gateway timeout", "Connection to the catalog was refused.", "Bad request: query parameter is missing.", "Error code ERR-304",
+    "抱歉，页面走丢了", "您访问的页面不存在或已被移走。", "该报告已被删除或暂不可用。", "403 没有访问权限", "服务器内部错误。", "502 网关错误",
+    "请求超时（504），网关没有收到响应。", "访问过于频繁，请30秒后再来。", "会话已过期，请重新登录。", "系统维护中，预计184分钟后恢复。",
+    "数据加载失败，点击重试", "连接数据库失败：ERR-304", "出错了（错误码 186）", "Diese Seite wurde nicht gefunden (404).",
+    "Der Dienst ist zurzeit nicht erreichbar.", "Страница не найдена. Ошибка 404.", "ページが見つかりません。",
+)
+FILLER_HEADS = (
+    "Placeholder paragraph. Your report text here.", "Type something. Sample text goes here.", "Body copy will follow once the template is approved.",
+    "Content to be added later.", "This section is intentionally a dummy for layout checks.", "（本段为占位段落，发布前请删除）", "内容待补充",
+    "正文整理中，稍后上传。", "这里写过境简报的正文，先空着。",
+)
+SCRIPT_HEADS = (
+    "Please enable JavaScript and reload the page.", "JavaScript seems to be off in your browser; allow it in order to open this report.",
+    "Turn JS on to view the visibility board.", "Checking your browser. Your browser blocks scripts.", "Scripting is required for the full view.",
+    "This app does not work without scripting. Switch it on before the map can be shown.", "noscript: the viewer is script based. Permit them to continue.",
+    "此页面需要启用 JavaScript，以便查看完整报告。", "检测到脚本被拦截，当前无法加载内容。", "当前环境无法执行 JS，然后重新打开看板。",
+    "您的浏览器不支持脚本，或脚本功能已被关闭，请调整设置后刷新页面。", "本站依赖脚本运行才能显示。", "请先打开浏览器的脚本功能，当前无法加载内容。",
+    "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Включите поддержку сценариев в браузере, чтобы увидеть карту.",
+    "このページを表示するにはJavaScriptを有効にしてください。",
+)
+CLOSINGS = (
+    "", "It may have moved or its name may have changed.", "Check the address and try once more.", "The team was informed.",
+    "Please come back in a few minutes.", "If this keeps happening, write to the desk.", "请检查地址是否正确。", "请稍后重试。", "错误已记录。", "我们正在处理。",
+    "如仍无法打开，请联系值班员。",
+)
+
+
+@pytest.mark.parametrize("closing", CLOSINGS)
+@pytest.mark.parametrize("head", ERROR_HEADS + FILLER_HEADS + SCRIPT_HEADS)
+def test_every_head_with_every_closing(head, closing):
+    kept = [
+        page
+        for gap in ("\n", " ", "")
+        for before in ("", "Constellation board\n", "Visibility console — ", "首页 | 星座 | 目标 | 报表\n")
+        for after in ("", "\n返回上一页", "\nBack to the start page", "\n参考编号 8c6243")
+        if judge(page := f"{before}{head}{gap}{closing}{after}") is None
+    ]
+    assert not kept
+
+
+def test_real_text_with_a_contact_line():
+    text = "Satellite122在7月8日进入普克岛上空，可见时长708秒，最大仰角53.6度。传感器标定完成，转入人工复核。如有疑问，请联系值班员。"
+    assert judge(text) is None
