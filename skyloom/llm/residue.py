@@ -60,11 +60,12 @@ DUMMY_WORDS = frozenset(
      "umbrae ferre quietis vastus velo pulvis merita colunt fixa duct foo bar baz qux quux asdf asd qwer qwerty zxcv zxcvb hjkl blah bla test testing abc xyz 123 1234").split()
 )
 #: Lines around the content: menus, footers, reference numbers.
-FURNITURE = re.compile(
-    r"back to the start page|back to home|返回上一页|返回首页|request id|参考编号|error id|visibility console|constellation board|星座可见性看板"
-    r"|^(?:home|首页)\b.*|.*(?: > | \| ).*(?: > | \| ).*|^code [\w-]+$|copyright|©",
-    re.I,
-)
+FURNITURE = (
+    "back to the start page", "back to home", "返回上一页", "返回首页", "request id", "参考编号", "error id", "visibility console", "constellation board", "星座可见性看板",
+    "copyright", "©",
+)
+_MENU_START = re.compile(r"(?:home|首页)\b|code [\w-]+$")
+_MENU_MARK = re.compile(r" > | \| ")
 #: A sentence with one of these speaks about placeholders, filler, errors or scripts.
 ABOUT = re.compile(
     r"写作|约定用|写成|原样|印了|换成|替换|已写进|手册|曲线不会刷新|返回过|经查|恢复正常|重启期间|没有丢失|次出现|字段含义|说明如下|照抄|语法|掩码|指的是|用.{0,30}(?:代表|表示)"
@@ -104,14 +105,12 @@ PLACEHOLDER = re.compile(
         )
     )
 )
+#: Every branch of PLACEHOLDER needs one of these.
+_OPENERS = ("{", "$", "#", "%(", "<", "[", "【", "此处", "«", "@@", "__", "XXX", "TBD", "TODO", "FIXME", "待填", "请填写", "请输入")
 _SENTENCE = re.compile(r"(?<=[。！？!?\n])|(?<=[a-zà-ÿа-яё)\]>}\"'0-9]\.)(?=\s|[一-鿿])|(?<=[a-z0-9)] [—–])\s")
 _FILLER_WORDS = re.compile(r"(?:\b[xX]{2,}\b[\s,.]*){3,}|(?:一二三四五六七八九十?)+")
 
 
-#: Room for a title, a menu line and a footer, in letters.
-_SHORT = 200
-
-
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -126,9 +125,18 @@ def _automaton():
 
 def _solid(text: str) -> int:
     """Letters of the text; an ideograph or kana weighs two."""
+    if text.isascii():
+        return sum(map(str.isalnum, text))
     return sum(2 if c >= "⺀" else 1 for c in text if c.isalnum())
 
 
+def _furniture(lowered: str) -> bool:
+    """Whether the line, in lower case, is a menu, a footer or a reference number."""
+    if any(words in lowered for words in FURNITURE) or _MENU_START.match(lowered):
+        return True
+    return len(_MENU_MARK.findall(lowered)) >= 2
+
+
 def _dummy(text: str) -> bool:
     """Whether most words, of four at least, are dummy Latin or idle typing."""
     words = re.findall(r"[a-z]+|\d+", text)
@@ -148,9 +156,10 @@ def _repeats(text: str) -> bool:
 
 
 def _mask(text: str, original: str) -> tuple[list[bool], dict[str, int]]:
-    """Which characters the phrases cover, and how many by kind."""
-    mask, kinds = [False] * len(text), {"filler": 0, "error": 0, "script": 0}
+    """Which characters the phrases cover, empty where there is no phrase, and how many by kind."""
+    mask, kinds = [], {"filler": 0, "error": 0, "script": 0}
     for end, (length, kind) in _automaton().iter(text):
+        mask = mask or [False] * len(text)
         start = end + 1 - length
         if start and text[start].isascii() and text[start].isalpha() and text[start - 1].isascii() and text[start - 1].isalpha():
             if not (original[start].isupper() and original[start - 1].islower()):  # two sentences may lack their space
@@ -173,28 +182,26 @@ def judge(text: str | None, least_sentence: float = 0.35, least_text: float = 0.
     if text is None or not text.strip():
         return None
     folded = unicodedata.normalize("NFC", text)
-    if PLACEHOLDER.search(folded) and any(PLACEHOLDER.search(s) and not ABOUT.search(s) for s in _SENTENCE.split(folded)):
+    if any(o in folded for o in _OPENERS) and PLACEHOLDER.search(folded) and any(PLACEHOLDER.search(s) and not ABOUT.search(s) for s in _SENTENCE.split(folded)):
         return "placeholder"
     if _repeats(folded):
         return "filler"
-    filled = sum(_solid(m.group()) for m in _FILLER_WORDS.finditer(folded))
-    if not filled and len(folded) > _SHORT and not _dummy(folded.lower()):
-        phrases = sum(length for _, (length, _) in _automaton().iter(folded.lower()))
-        if phrases * 2 < least_sentence * least_text * (_solid(folded) - _SHORT):
-            return None  # even if every phrase counted, too little of the text would be covered
+    filled = 0
+    if "一二三" in folded or "xx" in folded.lower():
+        filled = sum(_solid(m.group()) for m in _FILLER_WORDS.finditer(folded))
     sentences = [s for s in _SENTENCE.split(folded) if s.strip()]
     total = covered = 0
     kinds = {"filler": 0, "error": 0, "script": 0}
     for number, sentence in enumerate(sentences):
         line = sentence.strip()
         weight = _solid(line)
-        if not weight or FURNITURE.search(line):
-            continue
         lowered = line.lower()
         if len(lowered) != len(line):
             lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
+        if not weight or _furniture(lowered):
+            continue
         mask, found = _mask(lowered, line)
-        part = sum(2 if c >= "⺀" else 1 for c, m in zip(lowered, mask, strict=True) if m and c.isalnum()) / weight
+        part = sum(2 if c >= "⺀" else 1 for c, m in zip(lowered, mask, strict=True) if m and c.isalnum()) / weight if any(found.values()) else 0
         if number == 0 and not part and sentence.endswith("\n") and weight <= 40 and line[-1] not in ".。!！?？" and len(sentences) > 1:
             continue  # a title
         total += weight

@@ -89,3 +89,26 @@ def test_every_head_with_every_closing(head, closing):
 def test_real_text_with_a_contact_line():
     text = "Satellite122在7月8日进入普克岛上空，可见时长708秒，最大仰角53.6度。传感器标定完成，转入人工复核。如有疑问，请联系值班员。"
     assert judge(text) is None
+
+
+MENU = "Home > Passes > Detail > Overview of all satellites, windows, targets, clusters, sensors and reports of the visibility console"
+
+
+@pytest.mark.parametrize(
+    ("body", "kind"),
+    [
+        ("The page you asked for could not be located.", "error"),
+        ("Oops! Something broke while this report was loading.", "error"),
+        ("服务器内部错误。 请稍后重试。", "error"),
+        ("This app does not work without scripting. Switch it on before the map can be shown.", "script"),
+        ("Lorem ipsum Aliquet tempore magnus velo elit non lorem magnus in ferre.", "filler"),
+        ("Placeholder paragraph. Your report text here.", "filler"),
+    ],
+)
+def test_short_body_under_long_menus_and_footers(body, kind):
+    footers = "\n".join(f"Copyright {year} the operators of the ground segment and the planning desk of the constellation" for year in range(2015, 2026))
+    assert judge(f"{MENU}\n{MENU}\n{body}\n{footers}") == kind
+
+
+def test_real_text_under_long_menus():
+    assert judge(f"{MENU}\n{MENU}\nThe half cone of Sensor36 was set to 30 degrees and the swath changed with it.\n{MENU}") is None
