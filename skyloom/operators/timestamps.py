@@ -95,7 +95,7 @@ def normalize_timestamps(
     without its own zone gives null; a null order that a date with slashes and the year last
     does. Repeated rows stay repeated. An empty table gives an empty one. A column ``out`` that
     ``rows`` already has is replaced; other extra columns pass through. Texts of any length are
-    read whole; above 120 characters without the space around them none is a timestamp.
+    read whole and parsed.
     """
     dictionary = dictionary or InstantDictionary(rows.sparkSession, work_path(rows.sparkSession, "instants"))
     keyed = timestamp_keys(rows.drop(out) if out in rows.columns and out not in (text, zone, order) else rows, text, zone, order)
