@@ -41,6 +41,8 @@ _ARROW = pa.schema(
     ]
 )
 _BATCH_BYTES = 4_000_000
+#: A JSON string that may hold JSON: blanks, then a brace, a bracket or a quote, each plain or escaped.
+_EMBEDDED = re.compile(rb'"(?: |\\[nrt]|\\u00(?:20|09|0[aAdD]))*+(?:[{\[]|\\"|\\u00(?:7[bB]|5[bB]|22))')
 _DIGITS = re.compile(rb"(\d+)\D*$")
 _OPEN_OBJECT, _OPEN_ARRAY, _STRING = 123, 91, 34
 
@@ -66,11 +68,8 @@ def _real(raw: bytes | None) -> float | None:
 
 
 def _embedded(raw: bytes) -> bytes | None:
-    """The JSON text inside a JSON string, if it looks like an object or an array."""
-    head = raw[1:64].lstrip(b" \t").removeprefix(b"\\n").lstrip(b" ")
-    if head[:1] not in (b"{", b"["):
-        return None
-    return json.loads(raw).encode("utf-8", "surrogatepass")
+    """The text inside a JSON string whose first character but for blanks opens an object, an array or a further string."""
+    return json.loads(raw).encode("utf-8", "surrogatepass") if _EMBEDDED.match(raw) else None
 
 
 class _Elements:
