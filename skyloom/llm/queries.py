@@ -9,9 +9,26 @@ from skyloom.llm.mixing import mix_sources
 from skyloom.llm.pairs import flag_pairs
 from skyloom.llm.residue import find_residue
 from skyloom.llm.tokens import count_tokens, encode_corpus
+from skyloom.llm.topn import top_n_per_group
 from skyloom.session import materialize, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "target_edges").filter(F.col("q").between(0, 1)).select("edge_id", "from_id", "to_id", "q")  # NaN is above every number
+    priorities = (
+        table(spark, sf_dir, "target_list").filter("priority is not null").groupBy(F.col("id").alias("to_id")).agg(F.max("priority").alias("priority"))
+    )
+    best = top_n_per_group(
+        edges,
+        "from_id",
+        "q",
+        [F.col("priority").desc_nulls_last(), F.col("to_id").asc(), F.col("edge_id").asc()],
+        5,
+        enrich=lambda rows: rows.join(priorities, "to_id", "left"),
+    )
+    return best.select(F.col("from_id").cast("long").alias("from_id"), F.col("rank_no").cast("long").alias("rank_no"), "edge_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = flag_pairs(
         table(spark, sf_dir, "sft_records"), "record_id", "instruction", "input_user_data", "output_resoning_data", "output_result_data"
@@ -39,5 +56,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text").filter("residue is not null").select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_report": p8_report, "p9_found": p9_found}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_report": p8_report, "p9_found": p9_found}
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": """
+WITH edges AS (SELECT DISTINCT edge_id, from_id, to_id, q FROM target_edges WHERE q >= 0 AND q <= 1 AND from_id IS NOT NULL),
+     prio AS (SELECT id, max(priority) AS priority FROM target_list WHERE priority IS NOT NULL GROUP BY id),
+     ranked AS (
+       SELECT e.from_id, e.edge_id,
+              row_number() OVER (PARTITION BY e.from_id
+                                 ORDER BY e.q DESC, p.priority DESC NULLS LAST, e.to_id ASC NULLS FIRST, e.edge_id) AS rank_no
+       FROM edges e LEFT JOIN prio p ON p.id = e.to_id)
+SELECT CAST(from_id AS BIGINT) AS from_id, CAST(rank_no AS BIGINT) AS rank_no, edge_id FROM ranked WHERE rank_no <= 5
+""",
+}
