@@ -9,7 +9,6 @@ from skyloom.operators.intervals import merge_intervals
 from skyloom.operators.nearby import SphereTree, contained, near_pairs, region_edges, valid_place
 from skyloom.operators.nested import flatten_arrays, flatten_json
 from skyloom.operators.timestamps import normalize_timestamps
-from skyloom.operators.topn import top_n_per_group
 from skyloom.session import table
 
 
@@ -43,27 +42,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised.filter(F.col("utc_us").isNotNull()).select("src", "row_id", "pos", "utc_us").distinct()
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = (
-        table(spark, sf_dir, "target_edges")
-        .filter(F.col("q").between(0, 1))  # NaN is above every number
-        .distinct()
-        .select("edge_id", "from_id", "to_id", "q")
-    )
-    priorities = (
-        table(spark, sf_dir, "target_list").filter("priority is not null").groupBy(F.col("id").alias("to_id")).agg(F.max("priority").alias("priority"))
-    )
-    best = top_n_per_group(
-        edges,
-        "from_id",
-        "q",
-        [F.col("priority").desc_nulls_last(), F.col("to_id").asc(), F.col("edge_id").asc()],
-        5,
-        enrich=lambda rows: rows.join(priorities, "to_id", "left"),
-    )
-    return best.select(F.col("from_id").cast("long").alias("from_id"), F.col("rank_no").cast("long").alias("rank_no"), "edge_id")
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.lit("d MMM yyyy HH:mm:ss.SSS")
     windows = table(spark, sf_dir, "access_windows").select(
@@ -101,19 +79,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.unionByName(texts).select("snapshot_id", "child", "ord", "a_id", "b_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 ORACLE_SQL = {
-    "p2_found": """
-WITH edges AS (SELECT DISTINCT * FROM target_edges WHERE q >= 0 AND q <= 1 AND from_id IS NOT NULL),
-     prio AS (SELECT id, max(priority) AS priority FROM target_list WHERE priority IS NOT NULL GROUP BY id),
-     ranked AS (
-       SELECT e.from_id, e.edge_id,
-              row_number() OVER (PARTITION BY e.from_id
-                                 ORDER BY e.q DESC, p.priority DESC NULLS LAST, e.to_id ASC NULLS FIRST, e.edge_id) AS rank_no
-       FROM edges e LEFT JOIN prio p ON p.id = e.to_id)
-SELECT CAST(from_id AS BIGINT) AS from_id, CAST(rank_no AS BIGINT) AS rank_no, edge_id FROM ranked WHERE rank_no <= 5
-""",
     "p3_found": """
 WITH w AS (
        SELECT satellite_name, epoch_ms(try_strptime(trim(start_time), '%d %b %Y %H:%M:%S.%f')) AS s,

@@ -57,8 +57,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one. Only where it is unset,
-    as in tests on one machine, a folder of this process is made and set.
+    It is ``spark.checkpoint.dir`` where the cluster names one. Only where it is unset and the
+    master runs on this one machine, as in tests, a folder of this process is made and set; on a
+    cluster without the setting this is an error, since executors would each write their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -66,6 +67,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} reach")
     made = tempfile.mkdtemp(prefix="skyloom-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
