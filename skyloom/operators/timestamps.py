@@ -33,7 +33,9 @@ class InstantDictionary:
 
     Each entry is parsed once in its life: ``extend`` parses only keys that the stored table
     doesn't hold and appends them. Texts that determine no instant are kept too, with null, so
-    that they aren't tried again.
+    that they aren't tried again. ``path`` is kept; it has to lie in storage that all executors
+    reach. Two writers, or a run that is retried, may append a key twice; readers get it once.
+    After a change of the parser's rules a new path is due.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -46,10 +48,14 @@ class InstantDictionary:
         return bool(files.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")))
 
     def read(self) -> DataFrame:
-        """The stored entries; none before the first ``extend``."""
+        """The stored entries, each key once; none before the first ``extend``.
+
+        The aggregation leaves the rows partitioned by the key, as the joins on it need them.
+        """
         if not self._exists():
             return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+        stored = self.spark.read.schema(_SCHEMA).parquet(self.path)
+        return stored.groupBy(*_KEY).agg(F.max("sk_utc_us").alias("sk_utc_us"))
 
     def extend(self, keys: DataFrame) -> DataFrame:
         """Add the distinct keys of ``keys`` (columns sk_text, sk_zone, sk_order), then read all."""
@@ -86,10 +92,12 @@ def normalize_timestamps(
     """``rows`` with ``out``: microseconds since 1970-01-01 UTC, or null.
 
     The distinct (text, zone, order) go into a dictionary, each is parsed once, the dictionary is
-    persisted (and grows over later calls when the caller passes its own), and its instants are
-    joined back to all rows. The join is an equi-join on the key with one dictionary row a key;
-    a text that holds a large part of all rows is split by adaptive skew handling, which only
-    copies that one dictionary row.
+    persisted, and its instants are joined back to all rows. A caller's own ``dictionary`` grows
+    over its calls and runs: a load parses only the texts that no load before it held. Without
+    one, the dictionary lives as long as the session. The join is an equi-join on the key with
+    one dictionary row a key; a text that holds a large part of all rows is split by adaptive skew
+    handling, which only copies that one dictionary row. Rows without a text to look up take no
+    part in the join.
 
     Nulls: a null, blank or undetermined text gives null; a null zone means that a clock time
     without its own zone gives null; a null order that a date with slashes and the year last
@@ -99,7 +107,7 @@ def normalize_timestamps(
     """
     dictionary = dictionary or InstantDictionary(rows.sparkSession, work_path(rows.sparkSession, "instants"))
     keyed = timestamp_keys(rows.drop(out) if out in rows.columns and out not in (text, zone, order) else rows, text, zone, order)
-    known = dictionary.extend(keyed.filter(F.col("sk_text").isNotNull()))
-    determined = known.filter(F.col("sk_utc_us").isNotNull())
-    joined = keyed.join(determined, _KEY, "left")
-    return joined.withColumn(out, F.col("sk_utc_us")).drop(*_KEY, "sk_utc_us")
+    told, blank = keyed.filter(F.col("sk_text").isNotNull()), keyed.filter(F.col("sk_text").isNull())
+    determined = dictionary.extend(told).filter(F.col("sk_utc_us").isNotNull())
+    joined = told.join(determined, _KEY, "left").withColumn(out, F.col("sk_utc_us")).drop(*_KEY, "sk_utc_us")
+    return joined.unionByName(blank.withColumn(out, F.lit(None).cast("long")).drop(*_KEY))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.operators.intervals import merge_intervals
 from skyloom.operators.nearby import SphereTree, contained, near_pairs, region_edges, valid_place
 from skyloom.operators.nested import flatten_arrays, flatten_json
-from skyloom.operators.timestamps import normalize_timestamps
+from skyloom.operators.timestamps import InstantDictionary, normalize_timestamps
 from skyloom.session import table
 
 
@@ -38,7 +38,10 @@ def timestamp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normalised = normalize_timestamps(timestamp_rows(spark, sf_dir), "text", "tz_name", "date_order")
+    """With ``spark.skyloom.instants`` set to a path, the dictionary of all loads so far is kept there."""
+    path = spark.conf.get("spark.skyloom.instants", None)
+    dictionary = InstantDictionary(spark, path) if path else None
+    normalised = normalize_timestamps(timestamp_rows(spark, sf_dir), "text", "tz_name", "date_order", dictionary=dictionary)
     return normalised.filter(F.col("utc_us").isNotNull()).select("src", "row_id", "pos", "utc_us").distinct()
 
 
