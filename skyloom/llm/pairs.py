@@ -16,35 +16,46 @@ from pyspark.sql import types as T
 DEFECTS = ("refusal", "copied", "other_language", "empty", "truncated")
 
 # ---- Fixed values: phrases -------------------------------------------------------------------
-#: A speaker declines. First-person forms are bound to verbs of answering or helping, since sound
-#: reasoning also says that a satellite cannot see a target.
-_REFUSALS = re.compile(
+#: A speaker is unable or unwilling. Sound reasoning says so too ("I cannot join 5 and 9"), so
+#: these count only in texts that do no work.
+_UNABLE = re.compile(
     "|".join(
         (
-            r"我们?(?:实在|暂时|恐怕|确实|真的|目前|也)?(?:无法|不能|没有办法|没办法|不便|不方便|不可以|没有权限|无权|选择不|不会为|不愿|不想|拒绝|帮不上|没能力|不具备)",
-            r"恕(?:我)?(?:不能|无法|难|不)",
-            r"超出了?(?:我|本人|我们|模型)的?(?:能力|权限|职责|知识|服务)",
-            r"我不予|(?:数据|任务|请求|问题|内容)我(?:不予|不|无法)",
-            r"我?帮不上忙|爱莫能助|无可奉告|无法(?:为您|向您|给您|协助|提供帮助|回答(?:这|该|您|你)|满足(?:这|该|您|你))",
-            r"作为(?:一个|一款|一名)?(?:大?语言模型|人工智能|AI)",
-            r"(?:与|违反|不符合?)我?的?使用(?:准则|政策|规范)",
-            r"\bi(?:'m| am)? ?(?:really |very )?(?:sorry|afraid)\b.{0,40}\b(?:can(?:no|')t|can not|won't|unable|not able|must|have to|decline)",
-            r"\bi(?: am|'m) (?:not able|unable|not allowed|not permitted|not in a position)\b",
-            r"\bi (?:can(?:no|')t|can not|could not|couldn't|won't|will not|do not|don't|would not|wouldn't|shouldn't|should not) (?:be |be able to |really |currently )?"
-            r"(?:help|assist|provid|answer|compl|fulfil|process|analy|produc|give|discuss|support|make|do |continue|share|engage|respond|offer|generat|carry out|take part|decide|group|partition|recommend)",
-            r"\bi (?:must|have to|need to|will|would rather|prefer to|choose to|am going to) (?:respectfully |politely )?(?:decline|refuse|pass\b|abstain|not )",
-            r"\bi (?:decline|refuse) to\b",
-            r"\bno (?:result|answer|partition|grouping|solution|response) (?:will|can) be (?:given|provided|offered)",
-            r"(?:falls?|lies?|is|goes) (?:outside|beyond) (?:of )?(?:what i|my|the scope)",
-            r"not be appropriate for me|is (?:something|nothing) i do not do|against my (?:guidelines|policy|policies|rules)",
-            r"\bas an? (?:ai |large )?(?:language model|ai\b|assistant)",
-            r"\bich kann (?:ihnen|dir|ihm|hier|dabei|das|dies\w*|diese\w*)? ?(?:leider |hierbei )?(?:nicht|keine)|\bich (?:muss|möchte) (?:leider )?ablehnen|leider kann ich",
-            r"\bje (?:ne (?:peux|puis|suis pas en mesure)|regrette|refuse|dois (?:décliner|refuser))",
-            r"я не (?:могу|смогу|буду|вправе|имею права)|вынужден\w* отказать",
-            r"申し訳(?:ありません|ございません)|お(?:手伝い|答え|応え)(?:は)?でき(?:ません|かね)|対応(?:は)?(?:でき|いたし)(?:ません|かね)",
+            r"(?:我们?|本人|本助手|本模型)(?:实在|暂时|恐怕|确实|真的|目前|也|只能说|并)?(?:无法|不能|没有办法|没办法|不便|不方便|不可以|没有权限|无权|选择不|不会为|不愿|不想|不打算|拒绝|没能力|不具备)",
+            r"(?:数据|任务|请求|问题|内容)我(?:不予|不|无法)|我不予",
+            r"\b(?:i|we)(?: am|'m| are|'re) (?:not able|unable|not allowed|not permitted|not in a position|not (?:\w+ )?(?:comfortable|willing))\b|\bnot (?:one|something) i(?: am|'m) (?:comfortable|willing)",
+            r"\b(?:i|we) (?:really |simply |just )?(?:can(?:no|')t|can not|could not|couldn't|won't|will not|do not|don't|would not|wouldn't|shouldn't|should not|would rather not|prefer not)\b",
+            r"\b(?:something|nothing|choosing \w+) (?:is )?(?:something )?i do not do\b|is something i (?:do not|don't|cannot|can't|won't) do",
+            r"\b(?:i|we) (?:must|have to|need to|will|am going to|are going to|choose to) (?:respectfully |politely )?(?:pass\b|abstain|not )",
+            r"\bich (?:kann|darf|werde|möchte) \w*(?:\s\w+){0,4}? (?:nicht|keine\w*)\b",
+            r"\bje (?:ne (?:peux|puis|vais|souhaite)|n'ai pas le droit)",
+            r"\b(?:no puedo|no podré|no voy a|no me es posible|no estoy en condiciones|non posso|non sono in grado|não posso|não consigo|não vou)\b",
+            r"я не (?:могу|смогу|буду|вправе|имею права)",
+            r"でき(?:ません|かね)|いたしかね|(?:할|드릴) 수 없|도와드릴 수",
         )
     )
 )
+#: Refusals in so many words: declining, the speaker's rules or nature, no help, no result.
+_DECLINES = re.compile(
+    "|".join(
+        (
+            r"恕(?:我)?(?:不能|无法|难|不)|超出了?(?:我|本人|我们|模型)的?(?:能力|权限|职责|知识|服务)|我?帮不上忙|爱莫能助|无可奉告|选择不(?:回答|参与)",
+            r"(?:无法|不能)(?:为您|向您|给您|协助|提供(?:帮助|协助)|回答(?:这|该|您|你)|满足(?:这|该|您|你))|拒绝(?:回答|提供|协助|完成)(?:这|该|此|您|你)",
+            r"作为(?:一个|一款|一名)?(?:大?语言模型|人工智能|AI)|(?:与|违反|不符合?)我?的?使用(?:准则|政策|规范)",
+            r"\b(?:decline|refuse) to\b|\b(?:i|we) (?:must|have to|need to|will) (?:respectfully |politely )?(?:decline|refuse)\b",
+            r"\bno (?:result|answer|partition|grouping|solution|response) (?:will|can) be (?:given|provided|offered)|not be appropriate for me",
+            r"(?:falls?|lies?|is|goes) (?:outside|beyond) (?:of )?(?:what (?:i|we) |my |our |the scope of (?:my|what (?:i|we)))",
+            r"against my (?:guidelines|policy|policies|rules|principles)|\bas an? (?:ai |large )?(?:language model|ai\b|assistant)",
+            r"\b(?:i|we) (?:can(?:no|')t|can not|won't|will not|am unable to|am not able to) (?:be able to )?(?:help|assist|answer|comply|fulfil|respond|engage|take part|discuss)\b",
+            r"ablehnen|dabei nicht (?:helfen|unterstützen)|décliner|refuse de|отказать|como (?:un )?modelo de lenguaje|come modello linguistico|in quanto modello|rifiuto di|me niego|debo declinar|recuso",
+            r"お(?:手伝い|答え|応え)(?:は)?(?:でき|いたし)(?:ません|かね)|対応(?:は)?(?:でき|いたし)(?:ません|かね)|언어 모델|거절",
+        )
+    )
+)
+_APOLOGY = re.compile(
+    r"抱歉|对不起|不好意思|请原谅|很遗憾|遗憾的是|\bsorry\b|\bafraid\b|apolog|unfortunately|regrettably|leider|désolé|malheureusement|regrette"
+    r"|lo siento|lamento|lamentablemente|mi dispiace|purtroppo|desculpe|infelizmente|извините|к сожалению|申し訳|すみません|죄송"
+)
 #: Texts that stand for nothing, without punctuation.
 _NOTHING = frozenset(
     ("null", "none", "nil", "na", "nan", "undefined", "empty", "blank", "tbd", "todo", "placeholder", "no answer", "no output",
@@ -60,6 +71,9 @@ _WORDS = {
     "de": frozenset("der die das und ist mit von zu den dem ein eine nicht sich ich auf für im wird zum zur alle daher beide sind es damit nur".split()),
     "fr": frozenset("le la les des du et est un une pour que qui dans ne pas plus nous je par sur avec au cette ce donc on ainsi n'est depuis elle l'ordre".split()),
     "es": frozenset("el los las del y es una para que por con no se su al como está son".split()),
+    "it": frozenset("il lo gli della di che è non per una con sono del alla dei nel questo più come si ed".split()),
+    "pt": frozenset("o os as da do que não para uma com em por mais como é são dos ao na no se".split()),
+    "nl": frozenset("de het een en van niet dat is op te voor met zijn aan die er maar ook".split()),
 }
 # ----------------------------------------------------------------------------------------------
 
@@ -86,10 +100,32 @@ def is_empty(text: str | None) -> bool:
     return not words or " ".join(words) in _NOTHING
 
 
-def is_refusal(text: str | None) -> bool:
-    """Whether the text declines its task."""
+_CLAUSES = re.compile(r"[。！？!?;；\n]|\.\s")
+_NUMBERS = re.compile(r"\d+")
+
+
+def is_refusal(text: str | None, least_work: int = 3) -> bool:
+    """Whether the text declines its task.
+
+    Judged by sentences. Work is a sentence with numbers, since any sound answer names satellites
+    and targets. A sentence that refuses in so many words, or that is unable and apologises,
+    makes a refusal where fewer than ``least_work`` other sentences do work; a sentence that is
+    merely unable does where it and all but one of the others name no numbers.
+    """
     folded = unicodedata.normalize("NFKC", _bare(text)).lower().replace("’", "'")
-    return _REFUSALS.search(folded) is not None
+    if not (_UNABLE.search(folded) or _DECLINES.search(folded)):
+        return False
+    sentences = [s for s in _CLAUSES.split(folded) if s.strip()]
+    numbers = [len(_NUMBERS.findall(s)) for s in sentences]
+    work = sum(n > 0 for n in numbers)
+    for sentence, own in zip(sentences, numbers, strict=True):
+        unable, sorry = _UNABLE.search(sentence), _APOLOGY.search(sentence)
+        others = work - (own > 0)
+        if (_DECLINES.search(sentence) and own < 2 or unable and sorry) and others < least_work:
+            return True
+        if unable and not own and others < 2:
+            return True
+    return False
 
 
 def is_copied(text: str | None, sources: tuple[str | None, ...], least: float = 0.9) -> bool:
@@ -107,8 +143,10 @@ def is_copied(text: str | None, sources: tuple[str | None, ...], least: float =
     if len(own) < 2 * _WINDOW:
         return False
     windows = [own[i : i + _WINDOW] for i in range(0, len(own) - _WINDOW + 1, _WINDOW)]
+    # Every window of the sources goes into a set once, so that the test is linear in both texts.
+    known = {given[i : i + _WINDOW] for i in range(len(given) - _WINDOW + 1)}
     # The sources' own seams break a few windows, so each joint of instruction and input is forgiven once.
-    found = sum(w in given for w in windows)
+    found = sum(w in known for w in windows)
     return found + 1 >= least * len(windows) and found >= 2 and found / len(windows) >= least - 0.2
 
 
