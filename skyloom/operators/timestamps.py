@@ -69,12 +69,13 @@ class InstantDictionary:
 def timestamp_keys(rows: DataFrame, text: str, zone: str, order: str) -> DataFrame:
     """``rows`` with the dictionary key in sk_text, sk_zone and sk_order.
 
-    sk_text is null where the text is null or has no digit; such rows need no entry and join none.
+    sk_text is null where the text is null or has no digit of any script; such rows need no entry
+    and join none.
     """
     source = F.col(f"`{text}`")
     return rows.withColumns(
         {
-            "sk_text": F.when(source.rlike("[0-9０-９]"), source),
+            "sk_text": F.when(source.rlike("[\\p{N}〇零一二三四五六七八九十]"), source),
             "sk_zone": F.coalesce(F.col(f"`{zone}`"), F.lit("")),
             "sk_order": F.coalesce(F.col(f"`{order}`"), F.lit("")),
         }

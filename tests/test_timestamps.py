@@ -28,6 +28,11 @@ def test_nulls_repeated_rows_and_a_column_of_the_same_name(spark):
     assert _run(spark, []) == []
 
 
+def test_digits_of_other_scripts(spark):
+    rows = [(1, "二〇二五年七月二十日十时零分", "UTC", None, None), (2, "٢٠٢٥-٠٧-٢٠ ١٠:٠٠", "UTC", None, None), (3, "２０２５-０７-２０ １０：００", "UTC", None, None)]
+    assert _run(spark, rows) == [(n, 1_753_005_600_000_000) for n in (1, 2, 3)]
+
+
 def test_a_second_load_parses_only_new_texts_and_repeated_keys_dont_double_rows(spark, tmp_path):
     path = f"file://{tmp_path}/instants"
     dictionary = InstantDictionary(spark, path)
