@@ -16,48 +16,54 @@ from pyspark.sql import types as T
 FILLER = (
     "lorem ipsum", "dolor sit amet", "your text here", "text goes here", "text here", "sample text", "dummy text", "filler text",
     "type something", "placeholder paragraph", "placeholder text", "placeholder", "insert text", "add your text", "body copy will follow",
-    "once the template is approved", "will follow once", "content to be added later", "content to be added", "to be added later",
-    "content coming soon", "coming soon", "under construction", "intentionally a dummy for layout checks", "intentionally a dummy",
+    "content to be added later", "content to be added", "to be added later",
+    "content coming soon", "coming soon", "under construction", "intentionally a dummy",
     "intentionally left blank", "dummy for layout", "this section is intentionally", "text to follow", "to be written", "your report",
-    "此处为正文", "测试内容", "正文内容", "示例内容", "内容待补充", "待补充", "内容待定", "此处为占位", "占位段落", "占位文字", "占位符", "本段为占位", "发布前请删除", "先空着", "正文待补", "正文整理中", "稍后上传",
+    "此处为正文", "测试内容", "正文内容", "示例内容", "内容待补充", "待补充", "内容待定", "此处为占位", "占位段落", "占位文字", "占位符", "本段为占位", "先空着", "正文待补", "正文整理中", "稍后上传",
     "这里写", "的正文", "此处填写", "请在此输入", "请在此处", "示例文字", "示例文本", "测试文本", "内容建设中", "敬请期待", "一二三四五六七八九十",
     "platzhalter", "blindtext", "hier steht", "texte à venir", "texte de remplissage", "contenu à venir", "текст-заполнитель", "здесь будет текст",
     "ダミーテキスト", "ここに本文", "準備中",
+    "texto de relleno", "su texto aquí", "próximamente", "en construcción", "texto de exemplo", "em construção", "testo segnaposto", "in costruzione", "자리 표시", "준비 중",
 )
 ERROR = (
     "not found", "page not found", "could not be located", "could not be found", "cannot be found", "does not exist", "no longer available", "no longer exists",
     "service unavailable", "temporarily unavailable", "internal server error", "server error", "bad gateway", "gateway timeout", "gateway time-out",
     "bad request", "query parameter is missing", "forbidden", "unauthorized", "access denied", "was denied", "permission denied", "do not have the needed role",
     "do not have permission", "too many requests", "slow down and reload", "reload in", "session expired", "session has expired", "log in again", "sign in again",
-    "connection refused", "connection to the", "access to this", "was refused", "to see the board", "connection timed out", "timed out", "oops", "something went wrong", "something broke while", "broke while this report was loading",
-    "hit a snag", "cannot show this", "an error occurred", "an unexpected error", "error code", "upstream server gave no valid answer", "gave no valid answer",
+    "connection refused", "connection to the", "access to this", "was refused", "connection timed out", "timed out", "oops", "something went wrong", "something broke while", "hit a snag", "cannot show this", "an error occurred", "an unexpected error", "error code", "upstream server gave no valid answer", "gave no valid answer",
     "the page you asked for", "page you requested", "it may have moved", "its name may have changed", "may have been moved", "check the address", "try once more", "try again later",
-    "try again", "please come back in a few minutes", "come back later", "the team was informed", "has been notified", "has been logged", "if this keeps happening", "write to the desk",
-    "maintenance", "http error", "err-", "error 404", "error 500", "error 502", "error 503", "error 504", "error 403",
+    "try again", "please come back in a few minutes", "come back later", "the team was informed", "has been notified", "has been logged", "if this keeps happening", "for support", "maintenance", "http error", "err-", "error 404", "error 500", "error 502", "error 503", "error 504", "error 403",
     "页面走丢", "页面不存在", "不存在或已被移走", "您访问的页面", "已被移走", "已被删除或暂不可用", "暂不可用", "服务器内部错误", "服务器错误", "网关错误", "网关超时", "请求超时", "网关没有收到响应",
     "没有访问权限", "无权访问", "拒绝访问", "访问过于频繁", "秒后再来", "会话已过期", "登录已过期", "请重新登录", "系统维护中", "分钟后恢复", "加载失败", "点击重试", "连接数据库失败", "连接失败",
-    "出错了", "错误码", "错误已记录", "请稍后重试", "稍后再试", "我们正在处理", "请检查地址是否正确", "如仍无法打开", "请联系值班员", "抱歉", "找不到", "未找到",
+    "出错了", "错误码", "错误已记录", "请稍后重试", "稍后再试", "我们正在处理", "请检查地址是否正确", "如仍无法", "请联系", "抱歉", "找不到", "未找到",
     "nicht gefunden", "nicht erreichbar", "diese seite wurde", "der dienst ist zurzeit", "interner serverfehler", "zugriff verweigert", "sitzung abgelaufen",
     "introuvable", "cette page est", "erreur interne", "accès refusé", "service indisponible", "session expirée",
     "не найдена", "страница не", "внутренняя ошибка", "ошибка сервера", "ошибка", "доступ запрещ", "сервис недоступен", "сессия истекла",
     "ページが見つかりません", "見つかりません", "サーバーエラー", "アクセスが拒否", "エラーが発生",
+    "no encontrada", "no se encuentra", "no existe", "acceso denegado", "error interno", "servicio no disponible", "inténtelo de nuevo", "vuelva a intentarlo", "sesión ha caducado",
+    "não encontrada", "não existe", "acesso negado", "erro interno", "serviço indisponível", "tente novamente", "sessão expirou",
+    "non trovata", "non esiste", "accesso negato", "errore interno", "servizio non disponibile", "riprova", "찾을 수 없", "액세스가 거부", "오류가 발생", "서버 오류", "다시 시도",
+    "could not process", "could not be processed", "unable to load", "failed to load", "could not load", "could not open", "cannot be displayed", "is not available",
 )
 SCRIPT = (
     "enable javascript", "javascript is required", "javascript is disabled", "javascript seems to be off", "requires javascript", "need javascript", "please enable", "turn js on", "turn on javascript",
     "seems to be off in your browser", "to be off in your browser", "allow it", "switch it on", "permit them", "scripts and cookies", "turn on scripts", "you need to turn on", "blocks scripts", "your browser blocks",
     "scripting is required", "scripting", "without scripting", "does not work without", "this app does not work", "script based", "noscript", "the viewer is script", "use a capable browser", "checking your browser", "your browser", "javascript", "loading",
-    "and reload the page", "reload the page", "in order to open this report", "open this report", "before the map can be shown", "to view the visibility board", "for the full view", "to continue", "scripts",
+    "and reload the page", "reload the page", "for the full view", "to continue", "scripts", "to view", "to see", "in order to", "can be shown", "can be displayed",
     "需要启用", "启用javascript", "启用 javascript", "开启javascript", "开启 javascript", "和 cookie", "脚本被拦截", "依赖脚本运行", "不支持脚本", "脚本功能", "浏览器的脚本", "您的浏览器", "无法执行 js", "当前环境", "此页面", "本站",
-    "调整设置后刷新", "刷新页面", "以便查看完整报告", "查看完整报告", "才能显示", "当前无法加载内容", "无法加载内容", "重新打开看板", "已被关闭", "正在加载", "检测到",
-    "aktivieren sie javascript", "um diese seite zu sehen", "bitte aktivieren", "activer javascript", "pour afficher", "veuillez activer", "включите поддержку сценариев", "включите javascript", "в браузере", "чтобы увидеть карту",
-    "javascriptを有効", "このページを表示", "有効にしてください",
+    "调整设置后刷新", "刷新页面", "以便查看完整报告", "查看完整报告", "才能显示", "当前无法加载内容", "无法加载内容", "已被关闭", "正在加载", "检测到",
+    "aktivieren sie javascript", "um diese seite zu sehen", "bitte aktivieren", "activer javascript", "pour afficher", "veuillez activer", "включите поддержку сценариев", "включите javascript", "в браузере", "javascriptを有効", "このページを表示", "有効にしてください",
 )
-#: Words of dummy Latin and of idle typing; in a passage of filler they are most of the words.
+#: Words of dummy Latin and of idle typing.
 DUMMY_WORDS = frozenset(
-    ("lorem ipsum dolor sit amet consectetur consec adipiscing elit sed do eiusmod tempor tempore incididunt ut labore et dolore dolorem magna magnus aliqua "
-     "aliquet enim ad minim veniam quis nostrud ullamco laboris nisi aliquip ex ea commodo duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
-     "nulla nullo pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum petere radium amari orbis "
-     "umbrae ferre quietis vastus velo pulvis merita colunt fixa duct foo bar baz qux quux asdf asd qwer qwerty zxcv zxcvb hjkl blah bla test testing abc xyz 123 1234").split()
+    ("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
+     "aliquet enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
+     "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum dolorem neque porro quisquam magnam aliquam quaerat voluptatem tempora nullo "
+     "foo bar baz qux quux asdf asd qwer qwerty zxcv zxcvb hjkl blah bla test testing abc xyz 123 1234").split()
+)
+#: Frequent words of living languages; a passage with them is no dummy Latin.
+LIVING_WORDS = frozenset(
+    ("the and of to is with that for was are this by at from on it has be der die das und ist mit von zu den im für auf le les des du une pour que dans sur el la los las del y por con una il di che un um uma não".split())
 )
 #: Lines around the content: menus, footers, reference numbers.
 FURNITURE = (
@@ -66,12 +72,13 @@ FURNITURE = (
 )
 _MENU_START = re.compile(r"(?:home|首页)\b|code [\w-]+$")
 _MENU_MARK = re.compile(r" > | \| ")
-#: A sentence with one of these speaks about placeholders, filler, errors or scripts.
+#: A sentence with one of these speaks about placeholders, filler, errors or scripts: it explains a
+#: notation, tells what became of it, or reports an event of the past.
 ABOUT = re.compile(
-    r"写作|约定用|写成|原样|印了|换成|替换|已写进|手册|曲线不会刷新|返回过|经查|恢复正常|重启期间|没有丢失|次出现|字段含义|说明如下|照抄|语法|掩码|指的是|用.{0,30}(?:代表|表示)"
-    r"|stands for|by mistake|was printed|printed|printf|mask\b|in the export|template,|syntax|such as|means any|is replaced|was replaced|were replaced|were swapped|replaces it|denotes"
-    r"|we read|came from|manual covers|drag nodes|does not refresh|answered|last night|was fixed|lost nothing|proxy restart|explained|convention|quot|\bword[s]?\b|example"
-    r"|bedeutet|steht für|ersetzt|remplac|signifie|означает|заменен|заменён|置き換え",
+    r"写作|约定|写成|原样|印了|换成|替换|已写进|手册|文档里|返回过|经查|恢复正常|期间|没有丢失|次出现|发生|字段含义|说明如下|照抄|语法|掩码|指的是|曾经?|已修复|用.{0,30}(?:代表|表示)"
+    r"|stands? for|by mistake|\bprint(?:ed|f)\b|\bmask\b|\bexport\b|\btemplate,|syntax|\bmeans\b|(?:is|was|were|are) (?:replaced|swapped|fixed|restored|explained)|replaces|denotes|convention"
+    r"|\bwe (?:read|saw|found)|came from|\bthe manual\b|\bmanual (?:covers|says|describes|explains)|answered|\b(?:last|previous) (?:night|week|month|issue)|yesterday|\blost (?:nothing|no)\b|\brestart|\bquot|\bwords?\b|\bexamples?\b|such as"
+    r"|bedeutet|steht für|ersetzt|remplac|signifie|означает|замен[её]н|置き換え|significa|reemplaz",
     re.I,
 )
 # ----------------------------------------------------------------------------------------------
@@ -83,7 +90,7 @@ PLACEHOLDER = re.compile(
         (
             rf"\{{\{{\s*{_NAME}\s*\}}\}}",
             rf"\{{%\s*{_NAME}\s*%\}}",
-            rf"(?<![{{$\w\"]){{{_NAME}}}(?!}})",
+            rf"(?<![{{$A-Za-z0-9_\"]){{{_NAME}}}(?!}})",
             r"(?<![{$#^_\]])(?<!\\[A-Za-z])\{\s*\d{1,3}(?::[\d.,<>+]*[a-zA-Z%])?\s*\}(?!\})",  # not \d{4}, [0-9]{2} or x^{2}
             r"\{\{\s*\d{1,3}\s*\}\}",
             rf"[$#]\{{\s*{_NAME}\s*\}}",
@@ -95,7 +102,7 @@ PLACEHOLDER = re.compile(
             r"【(?:待填写?|待补充?|待定|待确认|请?填写?[^】\n]{0,12}|(?!注|例|图|表|附)[一-鿿]{2,8})】",
             r"[（(]\s*(?:请?在)?此处[请需待]?(?:补充|填写|填入)[:：]?\s*[^（）():：，。\n]{0,30}[）)]",
             r"«\s*(?!(?:Satellite|Sensor|m)\d+\s*»)(?:[A-Za-z][A-Za-z0-9]*(?:[_ \-][A-Za-z0-9]+){0,4}|[一-鿿]{2,20})\s*»",
-            r"(?<![\w#])#[A-Za-z][A-Za-z_]*#(?![\w#])",
+            r"(?<![A-Za-z0-9_#])#[A-Za-z][A-Za-z_]*#(?![A-Za-z0-9_#])",
             r"@@\s*[A-Za-z]\w*\s*@@",
             r"__[A-Za-z][A-Z_a-z]*[A-Za-z]__",
             r"(?<!_)_{3,}(?!_)",
@@ -107,7 +114,7 @@ PLACEHOLDER = re.compile(
 )
 #: Every branch of PLACEHOLDER needs one of these.
 _OPENERS = ("{", "$", "#", "%(", "<", "[", "【", "此处", "«", "@@", "__", "XXX", "TBD", "TODO", "FIXME", "待填", "请填写", "请输入")
-_SENTENCE = re.compile(r"(?<=[。！？!?\n])|(?<=[a-zà-ÿа-яё)\]>}\"'0-9]\.)(?=\s|[一-鿿])|(?<=[a-z0-9)] [—–])\s")
+_SENTENCE = re.compile(r"(?<=[。！？!?\n])|(?<=[a-zà-ÿа-яё)\]>}\"'0-9】»_#@]\.)(?=\s|[一-鿿])|(?<=[a-z0-9)] [—–])\s")
 _FILLER_WORDS = re.compile(r"(?:\b[xX]{2,}\b[\s,.]*){3,}|(?:一二三四五六七八九十?)+")
 
 
@@ -137,10 +144,20 @@ def _furniture(lowered: str) -> bool:
     return len(_MENU_MARK.findall(lowered)) >= 2
 
 
+_LATIN_ENDING = re.compile(r"(?:us|um|is|re|ae|it|am|em|os|o|a|unt|or|ne|at|et|ut|in|ed|ad)$")
+
+
 def _dummy(text: str) -> bool:
-    """Whether most words, of four at least, are dummy Latin or idle typing."""
-    words = re.findall(r"[a-z]+|\d+", text)
-    return len(words) >= 4 and sum(w in DUMMY_WORDS for w in words) >= 0.7 * len(words)
+    """Whether a passage of four words or more is dummy Latin or idle typing: its opening words stand in it, or three at
+    least and a third of its words are known as such, or one is and most of eight or more end like Latin; and hardly one
+    belongs to a living language."""
+    words = re.findall(r"[^\W\d_]+|\d+", text)
+    known = sum(w in DUMMY_WORDS for w in words)
+    if len(words) < 4 or not known or sum(w in LIVING_WORDS for w in words) > len(words) / 20:
+        return False
+    if "lorem ipsum" in text or known >= max(3, len(words) / 3):
+        return True
+    return len(words) >= 8 and sum(_LATIN_ENDING.search(w) is not None for w in words) >= 0.7 * len(words)
 
 
 def _repeats(text: str) -> bool:

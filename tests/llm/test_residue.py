@@ -112,3 +112,39 @@ def test_short_body_under_long_menus_and_footers(body, kind):
 
 def test_real_text_under_long_menus():
     assert judge(f"{MENU}\n{MENU}\nThe half cone of Sensor36 was set to 30 degrees and the swath changed with it.\n{MENU}") is None
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("HTTP 418: we could not process that. Try again later.", "error"), ("This site relies on JS; switch it on to proceed.", "script"), ("Página no encontrada. Inténtelo de nuevo.", "error"),
+        ("Página não encontrada. Tente novamente.", "error"), ("페이지를 찾을 수 없습니다. 다시 시도해 주세요.", "error"), ("Pagina non trovata. Riprova.", "error"), ("Habilite JavaScript para ver esta página.", "script"),
+        ("Neque porro quisquam est qui dolorem ipsum quia dolor sit amet", "filler"), ("重访间隔平均#revisit#小时。", "placeholder"), ("采样距离约{分辨率}米。", "placeholder"),
+    ],
+)
+def test_forms_outside_the_test_tables(text, kind):
+    assert judge(text) == kind
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The server answered with 503 last night; after the restart all passes were sent again.", "In this manual {name} stands for the name of the operator.", "The status bar shows the words lorem ipsum as an example of filler.",
+        "The set {1, 2, 3} holds three satellites.", "Use printf with %(name)s in the mask for names.", "La estación de Madrid observa el satélite y envía los datos por la tarde.",
+        "Der Satellit überflog die Station und sendete 40 Bilder.", "Alpha Centauri est stella proxima, 4 lux annis distat: numerus 7 observatus.", "",
+    ],
+)
+def test_sound_texts_outside_the_test_tables(text):
+    assert judge(text) is None
+
+
+def test_table_with_nulls_copies_and_clashing_names():
+    from skyloom.llm.residue import exclude_residue, find_residue
+    from skyloom.session import local_session
+
+    rows = [(1, "404 Not Found", "x"), (1, "404 Not Found", "x"), (2, None, "x"), (3, " ", None), (None, "Lorem ipsum dolor sit amet", "x"), (4, " ".join(f"Pass {n} took {n % 7} minutes." for n in range(20_000)), "x")]
+    spark = local_session(4, 4)
+    table = spark.createDataFrame(rows, "doc_id long, text string, residue string")
+    assert sorted((r[0] or 0, r[1]) for r in find_residue(table, "doc_id", "text").filter("residue is not null").collect()) == [(0, "filler"), (1, "error"), (1, "error")]
+    assert exclude_residue(table, "doc_id", "text").filter("doc_id = 1").count() == 0
+    assert find_residue(table.limit(0), "doc_id", "text").collect() == []
