@@ -53,6 +53,8 @@ SCRIPT = (
     "需要启用", "启用javascript", "启用 javascript", "开启javascript", "开启 javascript", "和 cookie", "脚本被拦截", "依赖脚本运行", "不支持脚本", "脚本功能", "浏览器的脚本", "您的浏览器", "无法执行 js", "当前环境", "此页面", "本站",
     "调整设置后刷新", "刷新页面", "以便查看完整报告", "查看完整报告", "才能显示", "当前无法加载内容", "无法加载内容", "已被关闭", "正在加载", "检测到",
     "aktivieren sie javascript", "um diese seite zu sehen", "bitte aktivieren", "activer javascript", "pour afficher", "veuillez activer", "включите поддержку сценариев", "включите javascript", "в браузере", "javascriptを有効", "このページを表示", "有効にしてください",
+    "habilite javascript", "active javascript", "activar javascript", "ative o javascript", "habilite o javascript", "attiva javascript", "abilita javascript", "자바스크립트를", "javascript를",
+    "relies on js", "needs js", "requires js", "without js", "js is off", "js is disabled", "enable js", "relies on javascript", "browser does not support", "to proceed", "this site", "this page", "para ver esta", "esta página",
 )
 #: Words of dummy Latin and of idle typing.
 DUMMY_WORDS = frozenset(
