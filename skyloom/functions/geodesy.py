@@ -20,16 +20,17 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius_
     return 2 * radius_km * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def ecef_m(lat: Column, lon: Column, alt_m: Column) -> tuple[Column, Column, Column]:
-    """WGS-84 earth-fixed x, y, z in metres of a place in degrees and metres."""
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def ecef_m(lat: Column, lon: Column, alt_m: Column, digits: int | None = 5) -> tuple[Column, Column, Column]:
+    """WGS-84 earth-fixed x, y, z in metres of a place in degrees and metres, rounded to ``digits``; None keeps them exact."""
     e2 = WGS84_F * (2 - WGS84_F)
     sin, cos = F.sin(F.radians(lat)), F.cos(F.radians(lat))
     normal = WGS84_A_M / F.sqrt(1 - e2 * sin * sin)
-    return (
-        (normal + alt_m) * cos * F.cos(F.radians(lon)),
-        (normal + alt_m) * cos * F.sin(F.radians(lon)),
-        (normal * (1 - e2) + alt_m) * sin,
-    )
+    axes = ((normal + alt_m) * cos * F.cos(F.radians(lon)), (normal + alt_m) * cos * F.sin(F.radians(lon)), (normal * (1 - e2) + alt_m) * sin)
+    return tuple(_rounded(a, digits) for a in axes)
 
 
 def distance3(x1: Column, y1: Column, z1: Column, x2: Column, y2: Column, z2: Column) -> Column:
@@ -37,19 +38,19 @@ def distance3(x1: Column, y1: Column, z1: Column, x2: Column, y2: Column, z2: Co
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) + (z1 - z2) * (z1 - z2))
 
 
-def ground_sample_distance(factor: float, range_km: Column, elevation_deg: Column) -> Column:
-    """factor * range / sqrt(sin(elevation)); null at or below the horizon."""
-    return F.when(elevation_deg > 0, F.lit(factor) * range_km / F.sqrt(F.sin(F.radians(elevation_deg))))
+def ground_sample_distance(factor: float, range_km: Column, elevation_deg: Column, digits: int | None = 3) -> Column:
+    """factor * range / sqrt(sin(elevation)), rounded to ``digits`` (None: exact); null at or below the horizon."""
+    return F.when(elevation_deg > 0, _rounded(F.lit(factor) * range_km / F.sqrt(F.sin(F.radians(elevation_deg))), digits))
 
 
-def nadir_sample_distance(factor: float, semi_major_km: Column) -> Column:
-    """The ground sample distance straight down from a circular orbit."""
-    return F.lit(factor) * (semi_major_km - EARTH_RADIUS_KM)
+def nadir_sample_distance(factor: float, semi_major_km: Column, digits: int | None = 3) -> Column:
+    """The ground sample distance straight down from a circular orbit, rounded to ``digits`` (None: exact)."""
+    return _rounded(F.lit(factor) * (semi_major_km - EARTH_RADIUS_KM), digits)
 
 
-def swath_width(x: Column, y: Column, z: Column, half_angle_deg: Column) -> Column:
-    """(distance from the Earth's centre - 6371) * tan(half angle), in km."""
-    return (F.sqrt(x * x + y * y + z * z) - EARTH_RADIUS_KM) * F.tan(F.radians(half_angle_deg))
+def swath_width(x: Column, y: Column, z: Column, half_angle_deg: Column, digits: int | None = 2) -> Column:
+    """(distance from the Earth's centre - 6371) * tan(half angle), in km, rounded to ``digits`` (None: exact)."""
+    return _rounded((F.sqrt(x * x + y * y + z * z) - EARTH_RADIUS_KM) * F.tan(F.radians(half_angle_deg)), digits)
 
 
 def local_solar_time(utc: Column, lon: Column) -> Column:

@@ -75,22 +75,24 @@ def limit_then_filter(df: DataFrame, by: str, k: int, tiebreak: str, condition:
 def insert_or_ignore(table: DataFrame, batch: DataFrame, key: str, order: str, required: list[str] | None = None) -> DataFrame:
     """``table`` and the rows of ``batch`` whose key is new; of equal keys the first by ``order``.
 
-    Rows that lack a required column are ignored. ``order`` may be a column of the batch only.
+    Rows that lack a required column are ignored. ``order`` may be a column of the batch only; a row
+    with a null there comes after the others, and rows equal in it go by their other columns.
     """
     sound = batch.filter(F.col(key).isNotNull())
     for column in required or []:
         sound = sound.filter(F.col(column).isNotNull())
     others = [c for c in sound.columns if c != key]
-    first = sound.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("r")).select(key, "r.*")
+    rank = F.struct(F.col(order).isNull().alias("sk_late"), F.col(order).alias("sk_order"), F.struct(*others).alias("sk_row"))
+    first = sound.groupBy(key).agg(F.min(rank)["sk_row"].alias("r")).select(key, "r.*")
     fresh = first.join(table.select(key), key, "left_anti")
     return table.unionByName(fresh.select(*table.columns))
 
 
 def update_where(df: DataFrame, condition: Column, changes: dict[str, Any], stamp: Any = None) -> DataFrame:
-    """Rows that meet ``condition`` get ``changes``, and ``update_at`` = ``stamp``; unknown columns are an error."""
+    """Rows that meet ``condition`` get ``changes``, and ``update_at`` = ``stamp`` where the table has it; unknown columns are an error."""
     for name in changes:
         _column(df, name)
-    every = {**changes, **({"update_at": stamp} if stamp is not None else {})}
+    every = {**changes, **({"update_at": stamp} if stamp is not None and "update_at" in df.columns else {})}
     hit = F.coalesce(condition, F.lit(False))
     return df.withColumns(
         {
@@ -136,6 +138,13 @@ def delete_named(df: DataFrame, key: str, names: DataFrame) -> DataFrame:
     return df.join(names.select(key).distinct(), key, "left_anti")
 
 
+def required_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``lookup`` for its key; a key that isn't there fails the query. ``lookup`` has each key once."""
+    found = df.join(lookup.withColumn("sk_there", F.lit(True)), key, "left")
+    checked = F.when(F.col("sk_there").isNull(), F.raise_error(F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(df.schema[key].dataType)).otherwise(F.col(key))
+    return found.withColumn(key, checked).drop("sk_there")
+
+
 def decode_json_list(column: Column, schema: str) -> Column:
     """A JSON array of JSON texts as an array of structs; broken elements are null."""
     return F.transform(F.from_json(column, "array<string>"), lambda x: F.from_json(x, schema))

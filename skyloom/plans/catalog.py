@@ -236,18 +236,18 @@ def q_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lla_ecef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = zip("xyz", ecef_m(F.col("lat"), F.col("lon"), F.lit(500.0)), strict=True)
+    axes = zip("xyz", ecef_m(F.col("lat"), F.col("lon"), F.lit(500.0), None), strict=True)
     return _places(spark, sf_dir).select("c_custkey", *(F.round(value, 3).alias(name) for name, value in axes))
 
 
 def q_gsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gsd = ground_sample_distance(0.001, F.lit(600.0) + F.col("lon"), F.col("lat"))
+    gsd = ground_sample_distance(0.001, F.lit(600.0) + F.col("lon"), F.col("lat"), None)
     return _places(spark, sf_dir).select("c_custkey", F.round(gsd, 6).alias("gsd"))
 
 
 def q_swath(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.lit(7000.0) + F.col("lat"), F.lit(300.0) + F.col("lon")
-    return _places(spark, sf_dir).select("c_custkey", F.round(swath_width(x, y, F.lit(100.0), F.lit(30.0)), 6).alias("km"))
+    return _places(spark, sf_dir).select("c_custkey", F.round(swath_width(x, y, F.lit(100.0), F.lit(30.0), None), 6).alias("km"))
 
 
 def q_local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +315,7 @@ def q_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ts_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.date_format("o_orderdate", "dd MMM yyyy HH:mm:ss.SSS").alias("stk")
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.date_format("o_orderdate", "dd MMM yyyy HH:mm:ss.SSS").alias("simulator")
     )
 
 
@@ -510,6 +510,6 @@ SELECT l_partkey, l_suppkey, l_extendedprice AS price FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC NULLS LAST, l_suppkey) = 1
 """,
     "q_ts_format": """
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%d %b %Y %H:%M:%S.%g') AS stk FROM orders
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%d %b %Y %H:%M:%S.%g') AS simulator FROM orders
 """,
 }
