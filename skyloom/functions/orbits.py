@@ -27,10 +27,9 @@ def sidereal_angle(at: Column) -> Column:
 
 def solve_kepler(mean_anomaly: Column, eccentricity: Column, rounds: int = 8) -> Column:
     """The eccentric anomaly in radians, by Newton's method with a fixed number of rounds."""
-    e = mean_anomaly
-    for _ in range(rounds):
-        e = e - (e - eccentricity * F.sin(e) - mean_anomaly) / (1 - eccentricity * F.cos(e))
-    return e
+    step = lambda e, _: e - (e - eccentricity * F.sin(e) - mean_anomaly) / (1 - eccentricity * F.cos(e))
+    # a fold, as nested expressions would triple with every round
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), mean_anomaly.cast("double"), step)
 
 
 def propagate_j2(a: Column, e: Column, inclination: Column, node: Column, perigee: Column, mean: Column, seconds: Column) -> tuple[Column, Column, Column]:

@@ -79,11 +79,11 @@ def q_visibility_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query(_WINDOWS_SQL + "SELECT src, dst, round(sum(CAST(t1 - t0 AS DECIMAL(18, 3))) / 60, 4) AS minutes FROM v GROUP BY src, dst")
+@_query(_WINDOWS_SQL + "SELECT src, dst, round(CAST(sum(CAST(t1 - t0 AS DECIMAL(18, 3))) AS DOUBLE) / 60, 6) AS minutes FROM v GROUP BY src, dst")
 def q_pair_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7."""
     total = F.sum((F.col("t1") - F.col("t0")).cast("decimal(18,3)")).cast("double")
-    return _windows(spark, sf_dir).groupBy("src", "dst").agg(F.round(total / 60, 4).alias("minutes"))
+    return _windows(spark, sf_dir).groupBy("src", "dst").agg(F.round(total / 60, 6).alias("minutes"))
 
 
 _SENSORS = [f"Sensor{n}" for n in (1, 9, 14, 34, 41, 55)]
@@ -179,7 +179,7 @@ def q_record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, '。'), lambda x: trim(x)), lambda x: len(x) > 0) AS parts FROM documents WHERE text IS NOT NULL) "
+    "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, '。'), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: len(x) > 0) AS parts FROM documents WHERE text IS NOT NULL) "
     "SELECT doc_id, unnest(range(1, len(parts) + 1)) AS no, unnest(parts) AS prompt FROM p"
 )
 def q_prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,11 +278,11 @@ def q_reset_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.reset_column(table(spark, sf_dir, "target_list"), "access_json", "[]").select("rec_id", "access_json")
 
 
-@_query("SELECT rec_id, NULL::BIGINT AS access_orbit, TRY_CAST(last_access_date AS BIGINT) AS last_access_date, CAST(priority AS VARCHAR) AS priority FROM target_list WHERE last_access_date IS NULL OR last_access_date NOT LIKE '% %'")
+@_query("SELECT rec_id, NULL::BIGINT AS access_orbit, TRY_CAST(last_access_date AS BIGINT) AS last_access_date, CAST(priority AS VARCHAR) AS priority FROM target_list WHERE last_access_date IS NULL OR regexp_matches(last_access_date, '^[0-9A-Za-z/-]+$')")
 def q_alter_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D8, D9."""
     rows = catalog.add_column(catalog.add_column(table(spark, sf_dir, "target_list"), "access_orbit", "bigint"), "rec_id", "string")
-    rows = rows.filter("last_access_date is null or last_access_date not like '% %'")
+    rows = rows.filter(F.col("last_access_date").isNull() | F.col("last_access_date").rlike(r"^[0-9A-Za-z/-]+\z"))
     return catalog.alter_column(catalog.alter_column(rows, "last_access_date", "bigint"), "priority", "string").select("rec_id", "access_orbit", "last_access_date", "priority")
 
 
@@ -346,7 +346,8 @@ def q_field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- groupings against their snapshots --------------------------------------------------------
 _PAIRS_SQL = r"""
-WITH r AS (SELECT DISTINCT record_id, input_user_data AS u, CASE WHEN json_valid(output_result_data) AND output_result_data LIKE '[{"cluster_id"%' THEN output_result_data END AS o FROM sft_records),
+WITH r AS (SELECT DISTINCT record_id, input_user_data AS u, CASE WHEN json_valid(output_result_data) THEN CASE WHEN json_type(output_result_data) = 'ARRAY' AND len(json_extract(output_result_data, '$[*].sats')) = json_array_length(output_result_data)
+                  AND len(json_extract(output_result_data, '$[*].targets')) = json_array_length(output_result_data) THEN output_result_data END END AS o FROM sft_records),
      nodes AS (SELECT record_id, CAST(unnest(json_extract(u, '$.sat_attrs[*].id')) AS INT) AS sat FROM r),
      wanted AS (SELECT DISTINCT record_id, CAST(unnest(json_extract(u, '$.target_edges[*].to')) AS INT) AS target FROM r),
      g AS (SELECT record_id, c.j AS c, c.i - 1 AS place FROM (SELECT record_id, unnest(list_zip(json_extract(o, '$[*]'), range(1, len(json_extract(o, '$[*]')) + 1))) AS z FROM r WHERE o IS NOT NULL), LATERAL (SELECT z[1] AS j, z[2] AS i) c),
@@ -714,8 +715,8 @@ def q_sun_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     _CIRCLE_SQL
-    + """, q AS (SELECT *, 9000.0 - x AS dx, 0 - y AS dy, 0 - z AS dz FROM p), k AS (SELECT *, greatest(0, least(1, -(x * dx + y * dy + z * dz) / (dx * dx + dy * dy + dz * dz))) AS k FROM q)
-SELECT s_suppkey, NOT (pow(x + k * dx, 2) + pow(y + k * dy, 2) + pow(z + k * dz, 2) < 6378.137 * 6378.137 AND k > 0 AND k < 1) AS seen FROM k"""
+    + """, q AS (SELECT *, 9000.0 - x AS dx, 0 - y AS dy, 0 - z AS dz FROM p), c AS (SELECT *, greatest(0, least(1, -(x * dx + y * dy + z * dz) / (dx * dx + dy * dy + dz * dz))) AS k FROM q)
+SELECT s_suppkey, NOT (pow(x + k * dx, 2) + pow(y + k * dy, 2) + pow(z + k * dz, 2) < 6378.137 * 6378.137 AND k > 0 AND k < 1) AS seen FROM c"""
 )
 def q_line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X7."""

@@ -74,7 +74,7 @@ def read_sibling(spark: SparkSession, path: str, part: str, sibling: str, read,
 
 def split_records(text: Column, mark: str) -> Column:
     """The parts of a text between marks (a pattern), trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(text, mark), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
 def read_prompts(spark: SparkSession, path: str, mark: str = r"=+ PROMPT \d+ =+") -> DataFrame:
