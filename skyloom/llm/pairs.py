@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,25 +81,36 @@ _WORDS = {
 # ----------------------------------------------------------------------------------------------
 
 _THINK = re.compile(r"</?think>", re.I)
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]+")
+_NO_LETTER = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+#: Every branch of _UNABLE and _DECLINES holds one of these, in texts folded to lower case; looking for them first is quick.
+_TRIGGERS = (
+    "我", "本人", "本助手", "本模型", "i can", "i could", "i will", "i won't", "i am", "i'm", "i do", "i would", "i should", "i really", "i simply", "i just", "i prefer", "i must", "i have", "i need", "i choose",
+    "we can", "we could", "we will", "we won't", "we are", "we're", "we do", "we would", "we should", "we really", "we simply", "we just", "we prefer", "we must", "we have", "we need", "we choose",
+    "ich ", "je n", "no p", "no v", "no me", "no est", "non ", "não ", "я не", "でき", "かね", "수 ",
+    "恕", "超出", "帮不上", "爱莫能助", "无可奉告", "选择不", "无法", "不能", "拒绝", "作为", "使用", "declin", "refus", "no result", "no answer", "no partition", "no grouping", "no solution", "no response",
+    "appropriate", "outside", "beyond", "against my", "language model", "as a", "ablehnen", "dabei nicht", "отказать", "modelo", "modello", "rifiuto", "niego", "recuso", "手伝い", "お答え", "お応え", "対応", "언어", "거절",
+)
 _IDENTIFIER = re.compile(r"[A-Za-z]+_\w+|\b(?:Satellite|Sensor|Target)\d*\b|\b[mwq]\b|\bJSON\b|https?://\S+|\{[^{}]*\}", re.I)
 _WINDOW = 12
 
 
+@lru_cache(maxsize=8)
 def _bare(text: str | None) -> str:
     """The text without marks of thought, invisible characters and outer space."""
-    return _THINK.sub("", text or "").translate(_INVISIBLE).strip()
+    return _INVISIBLE.sub("", _THINK.sub("", text or "")).strip()
 
 
 def _letters(text: str) -> str:
     """Only letters and digits, folded; copies that differ in space, case or punctuation become equal."""
-    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
+    return _NO_LETTER.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
 def is_empty(text: str | None) -> bool:
     """Nothing but blanks, punctuation or a word for nothing."""
-    bare = unicodedata.normalize("NFKC", _bare(text)).lower()
-    words = "".join(c if c.isalnum() or c.isspace() else " " for c in bare.replace("/", "")).split()
+    bare = unicodedata.normalize("NFKC", _bare(text)).lower().replace("/", "")
+    words = [m[0] for m in islice(_WORD.finditer(bare), 3)]  # no word for nothing has three words
     return not words or " ".join(words) in _NOTHING
 
 
@@ -113,7 +127,7 @@ def is_refusal(text: str | None, least_work: int = 3) -> bool:
     merely unable does where it and all but one of the others name no numbers.
     """
     folded = unicodedata.normalize("NFKC", _bare(text)).lower().replace("’", "'")
-    if not (_UNABLE.search(folded) or _DECLINES.search(folded)):
+    if not any(t in folded for t in _TRIGGERS) or not (_UNABLE.search(folded) or _DECLINES.search(folded)):
         return False
     sentences = [s for s in _CLAUSES.split(folded) if s.strip()]
     numbers = [len(_NUMBERS.findall(s)) for s in sentences]
@@ -150,20 +164,20 @@ def is_copied(text: str | None, sources: tuple[str | None, ...], least: float =
     return found + 1 >= least * len(windows) and found >= 2 and found / len(windows) >= least - 0.2
 
 
+_LANGUAGES_OF: dict[str, list[str]] = defaultdict(list)
+for _name, _known in _WORDS.items():
+    for _word in _known:
+        _LANGUAGES_OF[_word].append(_name)
+_SCRIPTS = {"han": re.compile("[一-鿿]+"), "kana": re.compile("[぀-ヿ]+"), "hangul": re.compile("[가-힣]+"), "cyrillic": re.compile("[Ѐ-ӿ]+")}
+_LATIN_WORD = re.compile(r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’]+")
+
+
+@lru_cache(maxsize=1024)
 def language(text: str | None) -> str | None:
-    """zh, ja, ko, ru, en, de, fr or es, or None where too little of the text tells."""
+    """zh, ja, ko, ru, en, de, fr, es, it, pt or nl, or None where too little of the text tells."""
     plain = _IDENTIFIER.sub(" ", _bare(text))
-    han = kana = hangul = cyrillic = 0
-    for c in plain:
-        if "一" <= c <= "鿿":
-            han += 1
-        elif "぀" <= c <= "ヿ":
-            kana += 1
-        elif "가" <= c <= "힣":
-            hangul += 1
-        elif "Ѐ" <= c <= "ӿ":
-            cyrillic += 1
-    words = re.findall(r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'’]+", plain)
+    han, kana, hangul, cyrillic = (sum(map(len, script.findall(plain))) for script in _SCRIPTS.values())
+    words = _LATIN_WORD.findall(plain)
     scripts = {
         "zh": han if kana * 10 <= han else 0,
         "ja": han + kana if kana * 10 > han else 0,
@@ -176,7 +190,10 @@ def language(text: str | None) -> str | None:
         return None
     if best != "latin":
         return best
-    votes = {name: sum(w.lower().replace("’", "'") in known for w in words) for name, known in _WORDS.items()}
+    votes = dict.fromkeys(_WORDS, 0)
+    for word in words:
+        for name in _LANGUAGES_OF.get(word.lower().replace("’", "'"), ()):
+            votes[name] += 1
     top = max(votes, key=votes.get)
     return top if votes[top] >= 2 else None
 

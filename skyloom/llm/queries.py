@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.mixing import mix_sources
+from skyloom.llm.mixing import mix_sources, mixture_plan
 from skyloom.llm.pairs import flag_pairs
 from skyloom.llm.residue import find_residue
 from skyloom.llm.tokens import count_tokens, encode_corpus
@@ -64,12 +64,28 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p8 that SQL can express: what is taken of each source, with sizes in characters as the table has them."""
+    sizes = table(spark, sf_dir, "documents").select("source", F.col("n_chars").alias("n_tokens"))
+    plan = mixture_plan(sizes, table(spark, sf_dir, "mix_weights"))
+    return plan.select("source", "available", F.round("share", 8).alias("share"), F.round("demand", 3).alias("demand"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text").filter("residue is not null").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_report": p8_report, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_plan": p8_plan, "p9_found": p9_found}
 ORACLE_SQL: dict[str, str] = {
+    "p8_plan": """
+WITH h AS (SELECT source, sum(n_chars) AS available FROM documents WHERE source IS NOT NULL GROUP BY source),
+     j AS (SELECT coalesce(w.source, h.source) AS source, coalesce(target_share, 0) AS target_share, coalesce(max_repeats, 0) AS max_repeats, CAST(coalesce(available, 0) AS BIGINT) AS available
+           FROM mix_weights w FULL JOIN h ON h.source = w.source),
+     l AS (SELECT *, available > 0 AND target_share > 0 AND max_repeats > 0 AS live FROM j),
+     s AS (SELECT *, CASE WHEN live THEN target_share / sum(target_share) FILTER (WHERE live) OVER () ELSE 0 END AS share FROM l),
+     z AS (SELECT *, min(available * max_repeats / share) FILTER (WHERE live) OVER () AS size FROM s)
+SELECT source, available, round(share, 8) AS share, round(CASE WHEN live THEN least(share * size, available * max_repeats) ELSE 0 END, 3) AS demand FROM z
+""",
     "p2_found": """
 WITH edges AS (SELECT DISTINCT edge_id, from_id, to_id, q FROM target_edges WHERE q >= 0 AND q <= 1 AND from_id IS NOT NULL),
      prio AS (SELECT id, max(priority) AS priority FROM target_list WHERE priority IS NOT NULL GROUP BY id),
