@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,57 +12,68 @@ from skyloom.session import materialize
 
 _AXES = ("x", "y", "z")
 _BITS = 20
+_MASK = (1 << _BITS) - 1
+
+
+def _above(code: Column, by: Column) -> Column:
+    """The code of the cell ``by`` levels up; a code packs the cell's three numbers."""
+    up = lambda v: F.call_function("shiftright", v, by)
+    x, y, z = F.shiftright(code, 2 * _BITS), F.shiftright(code, _BITS).bitwiseAND(_MASK), code.bitwiseAND(_MASK)
+    return F.shiftleft(up(x), 2 * _BITS).bitwiseOR(F.shiftleft(up(y), _BITS)).bitwiseOR(up(z))
 
 
 class SphereTree:
     """An octree over points on the unit sphere whose nodes keep the bounding box of their points.
 
     ``points`` needs side (int), id (bigint), lon and lat (degrees, valid). A node is split while
-    it holds more than ``leaf_size`` points, down to ``max_level`` (cells of 2 / 2**max_level;
-    level 13 is 1.6 km on Earth). Nodes are built by one aggregation over all levels; there are
-    at most as many as points times levels.
+    it holds more than ``leaf_size`` points, down to the last level, whose cells are about as
+    large as ``radius_km``: below that, all points of a cell are near each other or to be measured
+    anyway. A leaf there may hold any number of points; it is worked in chunks of ``chunk_size``,
+    so that a crowded place is many small joins.
+
+    Only narrow rows are spread over the levels: counts of cells, to find the nodes to split. The
+    points get their leaf by one join on their cell, and the boxes of inner nodes come from those
+    of the leaves.
     """
 
-    def __init__(self, points: DataFrame, leaf_size: int = 16, first_level: int = 3, max_level: int = 13) -> None:
-        if not 0 < first_level < max_level <= _BITS:
-            raise ValueError("0 < first_level < max_level <= 20")
-        self.levels = [0, *range(first_level, max_level + 1)]
+    def __init__(self, points: DataFrame, radius_km: float = 2.0, leaf_size: int = 16, first_level: int = 3, chunk_size: int = 256) -> None:
+        deepest = max(first_level + 1, min(_BITS, math.floor(math.log2(2 / max(chord(radius_km), 1e-9)))))
+        self.levels = [0, *range(first_level, deepest + 1)]
         lon = wrapped_longitude(F.col("lon"))
         x, y, z = unit_vector(F.col("lon"), F.col("lat"))
-        cell = lambda v: F.least(F.floor((v + 1) / 2 * (1 << max_level)), F.lit((1 << max_level) - 1)).cast("long")
-        placed = (
-            points.select("side", "id", lon.alias("lon"), "lat", x.alias("x"), y.alias("y"), z.alias("z"))
-            .distinct()
-            .withColumns({f"i{a}": F.greatest(cell(F.col(a)), F.lit(0)) for a in _AXES})
-        )
-        code = lambda level: (
-            F.shiftleft(F.shiftright("ix", max_level - level), 2 * _BITS)
-            .bitwiseOR(F.shiftleft(F.shiftright("iy", max_level - level), _BITS))
-            .bitwiseOR(F.shiftright("iz", max_level - level))
+        cell = lambda v: F.greatest(F.least(F.floor((v + 1) / 2 * (1 << deepest)), F.lit((1 << deepest) - 1)), F.lit(0)).cast("long")
+        code = F.shiftleft(cell(F.col("x")), 2 * _BITS).bitwiseOR(F.shiftleft(cell(F.col("y")), _BITS)).bitwiseOR(cell(F.col("z")))
+        placed = materialize(
+            points.select("side", "id", lon.alias("lon"), "lat", x.alias("x"), y.alias("y"), z.alias("z")).distinct().withColumn("cell", code), "placed"
         )
-        cells = F.array(*(F.struct(F.lit(k).alias("level"), code(k).alias("code")) for k in self.levels))
-        spread = placed.withColumn("cell", F.explode(cells)).select("*", "cell.level", "cell.code").drop("cell", "ix", "iy", "iz")
-        bounds = [f(c).alias(f"{n}_{c}") for c in (*_AXES, "lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))]
-        counted = spread.groupBy("level", "code").agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("side") == 0).cast("long")).alias("n0"), *bounds
+        cells = materialize(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+        inner = F.array(*(F.struct(F.lit(k).alias("level"), _above(F.col("cell"), F.lit(deepest - k)).alias("code")) for k in self.levels[:-1]))
+        spread = cells.select("cell", "n", F.explode(inner).alias("c")).select("cell", "n", "c.level", "c.code")
+        split = materialize(spread.groupBy("level", "code").agg(F.sum("n").alias("n")).filter(F.col("n") > leaf_size).select("level", "code"), "split")
+        # split nodes have split parents, so a cell's leaf is one level below its deepest split node
+        below = spread.join(split, ["level", "code"], "left_semi").groupBy("cell").agg(F.max("level").alias("parent"))
+        following = F.when(F.col("parent").isNull(), 0).when(F.col("parent") == 0, first_level).otherwise(F.col("parent") + 1)
+        leaf_of = cells.join(below, "cell", "left").select("cell", "n", following.cast("int").alias("level"))
+        leaf_of = leaf_of.withColumn("code", F.when(F.col("level") == 0, 0).otherwise(_above(F.col("cell"), deepest - F.col("level"))).cast("long"))
+        # only leaves of the last level, which are single cells, are crowded
+        chunks = F.when(F.col("level") == deepest, F.ceil(F.col("n") / chunk_size)).otherwise(1).cast("int")
+        located = placed.join(leaf_of.withColumn("chunks", chunks).drop("n"), "cell").drop("cell")
+        self.points = materialize(located.withColumn("chunk", F.pmod(F.xxhash64("side", "id", "x", "y", "z"), F.col("chunks")).cast("int")), "points")
+
+        ends = [(n, f, c) for c in (*_AXES, "lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))]
+        leaves = self.points.groupBy("level", "code").agg(
+            F.count(F.lit(1)).alias("n"), F.sum((F.col("side") == 0).cast("long")).alias("n0"), F.max("chunks").alias("chunks"), *(f(c).alias(f"{n}_{c}") for n, f, c in ends)
         )
-        parent_level = F.when(F.col("level") == self.levels[1], 0).otherwise(F.col("level") - 1)
-        up = F.when(F.col("level") == self.levels[1], F.lit(0).cast("long")).otherwise(
-            F.shiftleft(F.shiftright("code", 2 * _BITS + 1), 2 * _BITS)
-            .bitwiseOR(F.shiftleft(F.shiftright(F.shiftright("code", _BITS).bitwiseAND((1 << _BITS) - 1), 1), _BITS))
-            .bitwiseOR(F.shiftright(F.col("code").bitwiseAND((1 << _BITS) - 1), 1))
+        leaves = materialize(leaves, "leaves")
+        over = F.filter(F.array(*map(F.lit, self.levels)), lambda k: k < F.col("level"))
+        boxes = leaves.withColumn("up", F.explode(over)).withColumn("code", F.when(F.col("up") == 0, 0).otherwise(_above(F.col("code"), F.col("level") - F.col("up"))).cast("long"))
+        inner_nodes = boxes.groupBy(F.col("up").alias("level"), "code").agg(
+            F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.lit(1).alias("chunks"), *(f(f"{n}_{c}").alias(f"{n}_{c}") for n, f, c in ends)
         )
-        nodes = counted.withColumns({"up_level": F.when(F.col("level") > 0, parent_level), "up_code": F.when(F.col("level") > 0, up)})
-        nodes = materialize(nodes, "cells")
-        split = nodes.filter(F.col("n") > leaf_size).select(
-            F.col("level").alias("up_level"), F.col("code").alias("up_code")
-        )
-        kept = nodes.filter("level = 0").unionByName(nodes.join(split, ["up_level", "up_code"], "left_semi"))
-        self.nodes = materialize(
-            kept.withColumn("leaf", (F.col("n") <= leaf_size) | (F.col("level") == max_level)), "nodes"
-        )
-        leaves = self.nodes.filter("leaf").select("level", "code")
-        self.points = materialize(spread.join(leaves, ["level", "code"]), "points")
+        nodes = leaves.withColumn("leaf", F.lit(True)).unionByName(inner_nodes.withColumn("leaf", F.lit(False)))
+        parent = F.when(F.col("level") == first_level, 0).otherwise(F.col("level") - 1)
+        up_code = F.when(F.col("level") == first_level, 0).otherwise(_above(F.col("code"), F.lit(1))).cast("long")
+        self.nodes = materialize(nodes.withColumns({"up_level": F.when(F.col("level") > 0, parent), "up_code": F.when(F.col("level") > 0, up_code)}), "nodes")
 
     def children(self, prefix: str) -> DataFrame:
         """Every node under its parent; a leaf also under itself, so that it stays while others are split."""
@@ -136,23 +149,29 @@ def near_pairs(tree: SphereTree, radius_km: float) -> DataFrame:
             F.col("b_code").alias("bc"),
             (F.col("sure") | (_reach2() <= limit)).alias("sure"),
             (F.col("a_leaf") & F.col("b_leaf")).alias("done"),
+            F.col("a_chunks").alias("ak"),
+            F.col("b_chunks").alias("bk"),
         )
 
     root = spark.createDataFrame([(0, 0, 0, 0, False)], "al int, ac bigint, bl int, bc bigint, sure boolean")
     leaves = _union(_descend(root, step, "pairs"))
+    same_leaf = (F.col("al") == F.col("bl")) & (F.col("ac") == F.col("bc"))
+    # of a leaf's pairs of chunks with itself, each is taken once
+    leaves = leaves.withColumn("ah", F.explode(F.sequence(F.lit(0), F.col("ak") - 1))).withColumn("bh", F.explode(F.sequence(F.lit(0), F.col("bk") - 1)))
+    leaves = leaves.filter(~same_leaf | (F.col("ah") <= F.col("bh")))
     a, b = (
-        tree.points.select(*(F.col(c).alias(f"{p}_{c}") for c in ("side", "id", "level", "code", *_AXES))) for p in "ab"
+        tree.points.select(*(F.col(c).alias(f"{p}_{c}") for c in ("side", "id", "level", "code", "chunk", *_AXES))) for p in "ab"
     )
     apart = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in _AXES]
     measured = sum((d * d for d in apart[1:]), apart[0] * apart[0])
     first = (F.col("a_side") < F.col("b_side")) | ((F.col("a_side") == F.col("b_side")) & (F.col("a_id") < F.col("b_id")))
     other = (F.col("a_side") != F.col("b_side")) | (F.col("a_id") != F.col("b_id"))
-    same_leaf = (F.col("al") == F.col("bl")) & (F.col("ac") == F.col("bc"))
+    same_chunk = same_leaf & (F.col("ah") == F.col("bh"))
     found = (
-        leaves.join(a, (F.col("al") == F.col("a_level")) & (F.col("ac") == F.col("a_code")))
-        .join(b, (F.col("bl") == F.col("b_level")) & (F.col("bc") == F.col("b_code")))
+        leaves.join(a, (F.col("al") == F.col("a_level")) & (F.col("ac") == F.col("a_code")) & (F.col("ah") == F.col("a_chunk")))
+        .join(b, (F.col("bl") == F.col("b_level")) & (F.col("bc") == F.col("b_code")) & (F.col("bh") == F.col("b_chunk")))
         .filter((F.col("a_side") == 0) | (F.col("b_side") == 0))
-        .filter(other & (~same_leaf | first))
+        .filter(other & (~same_chunk | first))
         .filter(F.col("sure") | (measured <= limit))
     )
     low, high = (F.when(first if up else ~first, F.struct(*(F.col(f"a_{c}").alias(c) for c in ("side", "id")))).otherwise(

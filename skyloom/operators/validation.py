@@ -22,6 +22,11 @@ def _list(column: Column) -> Column:
     return F.coalesce(F.filter(column, lambda e: e.isNotNull()), F.filter(column, lambda e: F.lit(False)), F.array().cast("array<int>"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def read_pairs(rows: DataFrame, key: str, given: str, result: str) -> DataFrame:
     """key, sats, targets, edges and clusters of JSON snapshots and JSON results, paired by record and not by place.
 
@@ -55,11 +60,13 @@ def duplicate_members(clusters: Column) -> Column:
     """An array of node and groups: nodes that stand in more than one group or more than once in one, with the numbers
     (from 0) of those groups in order, one for each time."""
     placed = F.flatten(F.transform(clusters, lambda c, i: F.transform(_list(c["sats"]), lambda s: F.struct(s.alias("node"), i.alias("place")))))
-    nodes = F.array_sort(F.array_distinct(F.transform(placed, lambda p: p["node"])))
-    listed = F.transform(
-        nodes, lambda n: F.struct(n.alias("node"), F.transform(F.filter(placed, lambda p: p["node"] == n), lambda p: p["place"]).alias("groups"))
-    )
-    return F.filter(listed, lambda d: F.size(d["groups"]) > 1)
+
+    def listed(rows: Column) -> Column:
+        nodes = F.array_sort(F.array_distinct(F.transform(rows, lambda p: p["node"])))
+        each = F.transform(nodes, lambda n: F.struct(n.alias("node"), F.transform(F.filter(rows, lambda p: p["node"] == n), lambda p: p["place"]).alias("groups")))
+        return F.filter(each, lambda d: F.size(d["groups"]) > 1)
+
+    return _let(placed, listed)
 
 
 def group_links(clusters: Column, edges: Column) -> Column:
@@ -67,18 +74,26 @@ def group_links(clusters: Column, edges: Column) -> Column:
 
     A node in several groups belongs to the last. Sums are decimal, so that the order of edges doesn't matter.
     """
-    place = lambda node: F.array_max(
-        F.filter(F.transform(clusters, lambda c, i: F.when(F.array_contains(_list(c["sats"]), node), i)), lambda i: i.isNotNull())
-    )
-    ends = F.transform(edges, lambda e: F.struct(place(e["from"]).alias("x"), place(e["to"]).alias("y"), e["w"].cast("decimal(10,4)").alias("w")))
-    across = F.transform(
-        F.filter(ends, lambda e: (e["x"] != e["y"]) & e["w"].isNotNull()), lambda e: F.struct(F.least(e["x"], e["y"]).alias("a"), F.greatest(e["x"], e["y"]).alias("b"), e["w"].alias("w"))
-    )
-    pairs = F.array_sort(F.array_distinct(F.transform(across, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))))
-    total = lambda p: F.aggregate(
-        F.filter(across, lambda e: (e["a"] == p["a"]) & (e["b"] == p["b"])), F.lit(0).cast("decimal(20,4)"), lambda t, e: (t + e["w"]).cast("decimal(20,4)")
-    )
-    return F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), total(p).alias("strength")))
+    placed = F.flatten(F.transform(clusters, lambda c, i: F.transform(_list(c["sats"]), lambda s: F.struct(s.alias("node"), i.alias("place")))))
+
+    def last_places(rows: Column) -> Column:
+        nodes = F.array_distinct(F.transform(rows, lambda p: p["node"]))
+        return F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.array_max(F.transform(F.filter(rows, lambda p: p["node"] == n), lambda p: p["place"]))))
+
+    def crossing(places: Column) -> Column:
+        at = lambda node: F.try_element_at(places, F.coalesce(node, F.lit(-1)))
+        ends = F.transform(edges, lambda e: F.struct(at(e["from"]).alias("x"), at(e["to"]).alias("y"), e["w"].cast("decimal(10,4)").alias("w")))
+        kept = F.filter(ends, lambda e: (e["x"] != e["y"]) & e["w"].isNotNull())
+        return F.transform(kept, lambda e: F.struct(F.least(e["x"], e["y"]).alias("a"), F.greatest(e["x"], e["y"]).alias("b"), e["w"].alias("w")))
+
+    def summed(across: Column) -> Column:
+        pairs = F.array_sort(F.array_distinct(F.transform(across, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))))
+        total = lambda p: F.aggregate(
+            F.filter(across, lambda e: (e["a"] == p["a"]) & (e["b"] == p["b"])), F.lit(0).cast("decimal(20,4)"), lambda t, e: (t + e["w"]).cast("decimal(20,4)")
+        )
+        return F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), total(p).alias("strength")))
+
+    return _let(placed, lambda rows: _let(last_places(rows), lambda places: _let(crossing(places), summed)))
 
 
 def validation_report(pairs: DataFrame, key: str, least_link: float = 0.7) -> DataFrame:

@@ -45,6 +45,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised.filter(F.col("utc_us").isNotNull()).select("src", "row_id", "pos", "utc_us").distinct()
 
 
+_ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)$"
+
+
+def p1_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p1 that SQL can express: texts in ISO form with their own zone, through the same operator."""
+    rows = timestamp_rows(spark, sf_dir).filter(F.col("text").rlike(_ISO.removesuffix("$") + r"\z"))
+    normalised = normalize_timestamps(rows, "text", "tz_name", "date_order")
+    return normalised.filter(F.col("utc_us").isNotNull()).select("src", "row_id", "pos", "utc_us").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.lit("d MMM yyyy HH:mm:ss.SSS")
     windows = table(spark, sf_dir, "access_windows").select(
@@ -55,8 +65,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_intervals(windows.filter(F.trim("satellite_name") != ""), "satellite_name", "start_ms", "end_ms")
 
 
+NEAR_KM = 2.0
+
+
 def target_tree(spark: SparkSession, sf_dir: str) -> SphereTree:
-    """Valid places of target_list (side 0) and observation_targets (side 1)."""
+    """Valid places of target_list (side 0) and observation_targets (side 1), for pairs within ``NEAR_KM``."""
     targets = table(spark, sf_dir, "target_list").select(
         F.lit(0).alias("side"), F.col("id"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat")
     )
@@ -64,12 +77,12 @@ def target_tree(spark: SparkSession, sf_dir: str) -> SphereTree:
         F.lit(1).alias("side"), F.col("obs_id").alias("id"), F.get("target_coords", F.lit(0)).alias("lon"), F.get("target_coords", F.lit(1)).alias("lat")
     )
     both = targets.unionByName(places)
-    return SphereTree(both.filter(F.col("id").isNotNull() & valid_place(F.col("lon"), F.col("lat"))))
+    return SphereTree(both.filter(F.col("id").isNotNull() & valid_place(F.col("lon"), F.col("lat"))), NEAR_KM)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = target_tree(spark, sf_dir)
-    pairs = near_pairs(tree, 2.0)
+    pairs = near_pairs(tree, NEAR_KM)
     regions = region_edges(table(spark, sf_dir, "watch_regions"), "region_no", "ring_lon", "ring_lat")
     inside = contained(tree, regions)
     near = pairs.select(F.when(F.col("b_side") == 0, "tt").otherwise("ot").alias("kind"), "a_id", "b_id")
@@ -82,9 +95,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.unionByName(texts).select("snapshot_id", "child", "ord", "a_id", "b_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p6_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p6 that SQL can express: the typed snapshots."""
+    return flatten_arrays(table(spark, sf_dir, "snapshots")).select("snapshot_id", "child", "ord", "a_id", "b_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_iso": p1_iso, "p6_typed": p6_typed, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 ORACLE_SQL = {
+    "p1_iso": f"""
+WITH t AS (SELECT 'access_events' AS src, event_id AS row_id, 0::BIGINT AS pos, start_time AS t FROM access_events
+           UNION ALL SELECT 'snapshots', snapshot_id, 0, snap_timestamp FROM snapshots UNION ALL SELECT 'target_list', rec_id, 0, last_access_date FROM target_list
+           UNION ALL SELECT 'target_access', access_id, unnest(range(len(access_times))), unnest(access_times) FROM target_access)
+SELECT DISTINCT src, row_id, pos, epoch_us(TRY_CAST(t AS TIMESTAMPTZ)) AS utc_us FROM t WHERE regexp_matches(t, '{_ISO}') AND TRY_CAST(t AS TIMESTAMPTZ) IS NOT NULL
+""",
+    "p6_typed": """
+WITH s AS (SELECT DISTINCT snapshot_id, sat_attrs, sat_edges, target_edges FROM snapshots),
+     e AS (
+       SELECT snapshot_id, 'sat_attrs' AS child, list_transform(list_filter(sat_attrs, lambda x: x IS NOT NULL), lambda x: {'a': x.id, 'b': 0}) AS l FROM s
+       UNION ALL SELECT snapshot_id, 'sat_edges', list_transform(list_filter(sat_edges, lambda x: x IS NOT NULL), lambda x: {'a': x.from_id, 'b': x.to_id}) FROM s
+       UNION ALL SELECT snapshot_id, 'target_edges', list_transform(list_filter(target_edges, lambda x: x IS NOT NULL), lambda x: {'a': x.from_id, 'b': x.to_id}) FROM s),
+     u AS (SELECT snapshot_id, child, unnest(range(1, len(l) + 1)) AS ord, unnest(l) AS r FROM e)
+SELECT snapshot_id, child, ord, CAST(r.a AS BIGINT) AS a_id, CAST(r.b AS BIGINT) AS b_id FROM u
+""",
     "p3_found": """
 WITH w AS (
        SELECT satellite_name, epoch_ms(try_strptime(trim(start_time), '%d %b %Y %H:%M:%S.%f')) AS s,
