@@ -36,9 +36,10 @@ class SphereTree:
     of the leaves.
     """
 
-    def __init__(self, points: DataFrame, radius_km: float = 2.0, leaf_size: int = 16, first_level: int = 3, chunk_size: int = 256) -> None:
+    def __init__(self, points: DataFrame, radius_km: float = 2.0, leaf_size: int = 24, first_level: int = 3, chunk_size: int = 256) -> None:
         deepest = max(first_level + 1, min(_BITS, math.floor(math.log2(2 / max(chord(radius_km), 1e-9)))))
-        self.levels = [0, *range(first_level, deepest + 1)]
+        # every second level: half the rounds of the descent, for nodes of up to sixteen children on a surface
+        self.levels = [0, *sorted(range(deepest, first_level - 1, -2))]
         lon = wrapped_longitude(F.col("lon"))
         x, y, z = unit_vector(F.col("lon"), F.col("lat"))
         cell = lambda v: F.greatest(F.least(F.floor((v + 1) / 2 * (1 << deepest)), F.lit((1 << deepest) - 1)), F.lit(0)).cast("long")
@@ -50,9 +51,11 @@ class SphereTree:
         inner = F.array(*(F.struct(F.lit(k).alias("level"), _above(F.col("cell"), F.lit(deepest - k)).alias("code")) for k in self.levels[:-1]))
         spread = cells.select("cell", "n", F.explode(inner).alias("c")).select("cell", "n", "c.level", "c.code")
         split = materialize(spread.groupBy("level", "code").agg(F.sum("n").alias("n")).filter(F.col("n") > leaf_size).select("level", "code"), "split")
-        # split nodes have split parents, so a cell's leaf is one level below its deepest split node
+        # split nodes have split parents, so a cell's leaf is one step below its deepest split node
         below = spread.join(split, ["level", "code"], "left_semi").groupBy("cell").agg(F.max("level").alias("parent"))
-        following = F.when(F.col("parent").isNull(), 0).when(F.col("parent") == 0, first_level).otherwise(F.col("parent") + 1)
+        step = dict(zip(self.levels, self.levels[1:], strict=False))
+        next_level = F.element_at(F.create_map(*(F.lit(v) for pair in step.items() for v in pair)), F.col("parent"))
+        following = F.when(F.col("parent").isNull(), 0).otherwise(next_level)
         leaf_of = cells.join(below, "cell", "left").select("cell", "n", following.cast("int").alias("level"))
         leaf_of = leaf_of.withColumn("code", F.when(F.col("level") == 0, 0).otherwise(_above(F.col("cell"), deepest - F.col("level"))).cast("long"))
         # only leaves of the last level, which are single cells, are crowded
@@ -71,8 +74,9 @@ class SphereTree:
             F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.lit(1).alias("chunks"), *(f(f"{n}_{c}").alias(f"{n}_{c}") for n, f, c in ends)
         )
         nodes = leaves.withColumn("leaf", F.lit(True)).unionByName(inner_nodes.withColumn("leaf", F.lit(False)))
-        parent = F.when(F.col("level") == first_level, 0).otherwise(F.col("level") - 1)
-        up_code = F.when(F.col("level") == first_level, 0).otherwise(_above(F.col("code"), F.lit(1))).cast("long")
+        top = F.col("level") == self.levels[1]
+        parent = F.when(top, 0).otherwise(F.col("level") - 2)
+        up_code = F.when(top, 0).otherwise(_above(F.col("code"), F.lit(2))).cast("long")
         self.nodes = materialize(nodes.withColumns({"up_level": F.when(F.col("level") > 0, parent), "up_code": F.when(F.col("level") > 0, up_code)}), "nodes")
 
     def children(self, prefix: str) -> DataFrame:
