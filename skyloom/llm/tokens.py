@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +21,26 @@ _BATCH_CHARS = 200_000
 _LOOKAHEAD = 3
 
 
+#: A tokenizer's file is sent to the executors up to this size; a larger one they must find at its path.
+MAX_SHIPPED_BYTES = 64 << 20
+
+
+def _shipped(spark: SparkSession, path: str) -> Callable[[], str]:
+    """A function that gives the tokenizer on an executor: the file's text, sent once to each, or its path."""
+    if os.path.getsize(path) > MAX_SHIPPED_BYTES:
+        return lambda: path
+    with open(path, encoding="utf-8") as file:
+        text = spark.sparkContext.broadcast(file.read())
+    return lambda: text.value
+
+
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
+def _tokenizer(source: str):
+    """The tokenizer of a path or of the text of its file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(source) if source.lstrip().startswith("{") else Tokenizer.from_file(source)
     tokenizer.encode_special_tokens = True
     return tokenizer
 
@@ -184,16 +198,16 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
     their blanks. Strings of special tokens in a text are ordinary text. Rows aren't shuffled, and
     repeated rows stay. Extra columns are dropped. An empty table gives an empty one.
 
-    ``path`` is the tokenizer's file, which every executor must find there.
+    ``path`` is the tokenizer's file on the driver; the executors get its text (see ``_shipped``).
     """
-    path = path or tokenizer_path()
+    source = _shipped(documents.sparkSession, path or tokenizer_path())
     kind = documents.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in _batches(batch):
-                ids = encode_texts(texts, path, leaf_chars)
+                ids = encode_texts(texts, source(), leaf_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return documents.select(key, text).mapInArrow(run, schema)
@@ -201,14 +215,14 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str | None =
 
 def count_tokens(documents: DataFrame, keys: list[str], text: str, path: str | None = None) -> DataFrame:
     """``keys`` and n_tokens (bigint) of each row; 0 for null and empty texts."""
-    path = path or tokenizer_path()
+    source = _shipped(documents.sparkSession, path or tokenizer_path())
     schema = T.StructType([documents.schema[k] for k in keys] + [T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keys))
             numbers = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], names=["n", "text"])
-            counts = [len(ids) for _, part in _batches(numbers) for ids in encode_texts(part, path)]
+            counts = [len(ids) for _, part in _batches(numbers) for ids in encode_texts(part, source())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(counts, pa.int64())], names=[*keys, "n_tokens"])
 
     return documents.select(*keys, F.col(text)).mapInArrow(run, schema)
