@@ -53,6 +53,35 @@ class StructuralIndex:
     def raw(self, token: int) -> bytes:
         return self.data[self.start[token] : self.end[token]]
 
+    def name_codes(self, names: list[bytes]) -> np.ndarray:
+        """For every token the place in ``names`` of the name of the member it is the value of, else -1."""
+        codes = np.full(self.kind.size, -1, dtype=np.int64)
+        members = np.flatnonzero(self.key >= 0)
+        first = self.start[self.key[members]] + 1
+        length = self.end[self.key[members]] - 1 - first
+        letters = np.frombuffer(self.data, dtype=np.uint8)
+        for size in {len(name) for name in names}:
+            at = np.flatnonzero(length == size)
+            spelt = letters[first[at][:, None] + np.arange(size)]
+            for number, name in enumerate(names):
+                if len(name) == size:
+                    codes[members[at[(spelt == np.frombuffer(name, dtype=np.uint8)).all(axis=1)]]] = number
+        return codes
+
+    def whole_numbers(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of those of ``tokens`` that are nothing but 1 to 15 digits, perhaps in quotes, and which they are."""
+        quoted = self.kind[tokens] == _QUOTE
+        first, length = self.start[tokens] + quoted, self.end[tokens] - self.start[tokens] - 2 * quoted
+        values, plain = np.zeros(tokens.size, dtype=np.int64), np.zeros(tokens.size, dtype=bool)
+        digits = np.frombuffer(self.data, dtype=np.uint8)
+        for size in range(1, 16):
+            at = np.flatnonzero(length == size)
+            if at.size:
+                found = digits[first[at][:, None] + np.arange(size)].astype(np.int64) - 48
+                plain[at] = ((found >= 0) & (found <= 9)).all(axis=1)
+                values[at] = found @ 10 ** np.arange(size - 1, -1, -1, dtype=np.int64)
+        return values, plain
+
 
 def build_index(texts: list[bytes]) -> StructuralIndex:
     """The structural index of ``texts``; texts that aren't one JSON document have no tokens."""

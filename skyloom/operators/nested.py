@@ -43,6 +43,7 @@ _ARROW = pa.schema(
 _BATCH_BYTES = 4_000_000
 #: A JSON string that may hold JSON: blanks, then a brace, a bracket or a quote, each plain or escaped.
 _EMBEDDED = re.compile(rb'"(?: |\\[nrt]|\\u00(?:20|09|0[aAdD]))*+(?:[{\[]|\\"|\\u00(?:7[bB]|5[bB]|22))')
+_WHOLE = re.compile(rb"-?\d{1,30}")
 _DIGITS = re.compile(rb"(\d+)\D*$")
 _OPEN_OBJECT, _OPEN_ARRAY, _STRING = 123, 91, 34
 
@@ -53,7 +54,7 @@ def _number(raw: bytes | None) -> int | None:
         return None
     raw = raw.strip(b'"').strip()
     try:
-        value = float(raw)
+        value = int(raw) if _WHOLE.fullmatch(raw) else float(raw)
         return int(value) if value == value and abs(value) < 2**63 else None
     except ValueError:
         found = _DIGITS.search(raw)
@@ -72,94 +73,123 @@ def _embedded(raw: bytes) -> bytes | None:
     return json.loads(raw).encode("utf-8", "surrogatepass") if _EMBEDDED.match(raw) else None
 
 
+_FIELD_NAMES = sorted(_OWN | _FROM | _TO | _WEIGHT | _POSITION)
+_NAMES = [*(child.encode() for child in CHILDREN), *_FIELD_NAMES]
+
+
+def _named(names: frozenset) -> np.ndarray:
+    """Which codes of ``_NAMES`` are among ``names``; the last entry stands for the code -1."""
+    return np.array([*(n in names for n in _NAMES), False])
+
+
+_IS_OWN, _IS_FROM, _IS_TO, _IS_WEIGHT, _IS_POSITION = (_named(n) for n in (_OWN, _FROM, _TO, _WEIGHT, _POSITION))
+
+
 class _Elements:
-    """Elements of the three arrays that one batch of texts holds, with JSON texts inside strings."""
+    """Elements of the three arrays that one batch of texts holds, with JSON texts inside strings.
+
+    Which tokens are containers, elements and fields is told by masks over the whole batch; Python
+    goes only over what was found.
+    """
 
     def __init__(self) -> None:
-        #: (text, order key, child, element's fields, owner's order key)
-        self.rows: list[tuple[int, tuple, str, dict, tuple | None]] = []
-        self.valid: np.ndarray | None = None
+        #: (text, order key, child, own, from, to, weight, pos, owner's order key)
+        self.rows: list[tuple] = []
 
-    def scan(self, texts: list[bytes], owners: list[int], prefixes: list[tuple], roots: list[str | None]) -> None:
+    def scan(self, texts: list[bytes], owners: list[int], prefixes: list[tuple], roots: list[int]) -> None:
         index = build_index(texts)
-        if self.valid is None:
-            self.valid = index.valid
-        members: dict[int, list[int]] = {}
-        elements: dict[int, list[int]] = {}
-        nested: tuple[list[bytes], list[int], list[tuple], list[str | None]] = ([], [], [], [])
-        arrays: list[tuple[int, str]] = []
-        names = [child.encode() for child in CHILDREN]
-        kind, parent, key = index.kind.tolist(), index.parent.tolist(), index.key.tolist()
-        doc, start = index.doc.tolist(), index.start.tolist()
-        for token in np.flatnonzero(index.value).tolist():
-            up, name = parent[token], key[token]
-            child = None
-            if name >= 0:
-                members.setdefault(up, []).append(token)
-                raw = index.raw(name)[1:-1]
-                child = raw.decode() if raw in names else None
-            elif up >= 0:
-                elements.setdefault(up, []).append(token)
-            else:
-                child = roots[doc[token]]
-            if child is not None and kind[token] != _STRING:
-                arrays.append((token, child))
-            if kind[token] == _STRING and (text := _embedded(index.raw(token))) is not None:
-                for to, what in zip(nested, (text, owners[doc[token]], (*prefixes[doc[token]], start[token]), child), strict=True):
+        kind, parent, value = index.kind, index.parent, index.value
+        code = index.name_codes(_NAMES)
+        child = np.where(code < len(CHILDREN), code, -1)
+        top = value & (parent < 0)
+        child[top] = np.asarray(roots, dtype=np.int64)[index.doc[top]]
+        self._embedded(index, child, owners, prefixes)
+
+        container = value & (child >= 0) & (kind != _STRING)
+        listed = kind == _OPEN_ARRAY
+        up = np.maximum(parent, 0)
+        inner = value & (index.key < 0) & (parent >= 0) & container[up] & listed[up]
+        element = inner | (container & ~listed)
+        letters = np.frombuffer(index.data, dtype=np.uint8)
+        element &= ~((kind != _STRING) & (letters[np.minimum(index.start, letters.size - 1)] == 110))  # null is what begins with n
+        holder = np.where(inner, parent, np.arange(kind.size))
+
+        field = (index.key >= 0) & (parent >= 0) & element[up] & (kind[up] == _OPEN_OBJECT)
+        plain = field & (kind != _OPEN_OBJECT) & ~listed
+        own, source, to = (self._first(index, plain & mask[code]) for mask in (_IS_OWN, _IS_FROM, _IS_TO))
+        bare = np.flatnonzero(element & (kind != _OPEN_OBJECT) & ~listed)
+        own.update(zip(bare.tolist(), self._numbers(index, bare), strict=True))
+        weight: dict[int, float | None] = {}
+        for token in np.flatnonzero(plain & _IS_WEIGHT[code]).tolist():
+            if weight.get(int(parent[token])) is None:
+                weight[int(parent[token])] = _real(index.raw(token))
+        place_list = field & ~plain & _IS_POSITION[code]
+        points: dict[int, list] = {int(t): [] for t in np.flatnonzero(place_list)}
+        for token in np.flatnonzero(value & (parent >= 0) & place_list[up]).tolist():
+            points[int(parent[token])].append(_real(index.raw(token)))
+        position = {int(parent[t]): values for t, values in points.items()}
+
+        found = np.flatnonzero(element)
+        above = parent[holder[found]]
+        under_satellite = (above >= 0) & element[np.maximum(above, 0)] & (child[holder[np.maximum(above, 0)]] == 0)
+        rows = zip(
+            found.tolist(), index.doc[found].tolist(), index.start[found].tolist(), child[holder[found]].tolist(),
+            np.where(under_satellite, above, -1).tolist(), index.start[np.maximum(above, 0)].tolist() if kind.size else [], strict=True,
+        )
+        for token, doc, start, what, satellite, satellite_start in rows:
+            begins = source.get(token)
+            if satellite >= 0 and begins is None and what:
+                begins = own.get(satellite)
+            owner = (*prefixes[doc], satellite_start) if satellite >= 0 else None
+            self.rows.append((owners[doc], (*prefixes[doc], start), what, own.get(token), begins, to.get(token), weight.get(token), position.get(token), owner))
+
+    def _embedded(self, index: StructuralIndex, child: np.ndarray, owners: list[int], prefixes: list[tuple]) -> None:
+        """Scan the JSON texts inside the strings of the batch; what is in one counts where its string stands."""
+        strings = np.flatnonzero(index.value & (index.kind == _STRING))
+        letters = np.frombuffer(index.data, dtype=np.uint8)
+        # the character after the quote: of the others, none can begin JSON behind blanks, plain or escaped
+        likely = strings[np.isin(letters[index.start[strings] + 1], (32, 92, _OPEN_OBJECT, _OPEN_ARRAY))]
+        nested: tuple[list[bytes], list[int], list[tuple], list[int]] = ([], [], [], [])
+        for token in likely.tolist():
+            if (text := _embedded(index.raw(token))) is not None:
+                doc = int(index.doc[token])
+                for to, what in zip(nested, (text, owners[doc], (*prefixes[doc], int(index.start[token])), int(child[token])), strict=True):
                     to.append(what)
-        owner_of: dict[int, tuple] = {}
-        for token, child in arrays:
-            inner = elements.get(token, []) if kind[token] == _OPEN_ARRAY else [token]
-            for element in inner:
-                if index.raw(element) == b"null" and kind[element] != _STRING:
-                    continue
-                fields = self._fields(index, members, elements, element, kind, key)
-                place = (*prefixes[doc[element]], start[element])
-                above = owner_of.get(parent[token])
-                if child == "sat_attrs":
-                    owner_of[element] = (fields.get("own"), place)
-                elif above is not None and fields.get("from") is None:
-                    fields["from"] = above[0]
-                self.rows.append((owners[doc[element]], place, child, fields, above[1] if above else None))
         if nested[0]:
             self.scan(*nested)
 
     @staticmethod
-    def _fields(index: StructuralIndex, members: dict, elements: dict, element: int, kind: list, key: list) -> dict:
-        if kind[element] != _OPEN_OBJECT:
-            return {"own": _number(index.raw(element)) if kind[element] != _OPEN_ARRAY else None}
-        fields: dict = {}
-        for token in members.get(element, ()):
-            name = index.raw(key[token])[1:-1]
-            if kind[token] in (_OPEN_OBJECT, _OPEN_ARRAY):
-                if name in _POSITION:
-                    inner = elements if kind[token] == _OPEN_ARRAY else members
-                    fields["pos"] = [_real(index.raw(t)) for t in inner.get(token, ())]
-                continue
-            raw = index.raw(token)
-            for what, known, read in (("own", _OWN, _number), ("from", _FROM, _number), ("to", _TO, _number), ("weight", _WEIGHT, _real)):
-                if name in known and fields.get(what) is None:
-                    fields[what] = read(raw)
-        return fields
+    def _numbers(index: StructuralIndex, tokens: np.ndarray) -> list[int | None]:
+        values, plain = index.whole_numbers(tokens)
+        return [v if p else _number(index.raw(t)) for t, v, p in zip(tokens.tolist(), values.tolist(), plain.tolist(), strict=True)]
+
+    def _first(self, index: StructuralIndex, mask: np.ndarray) -> dict[int, int]:
+        """The first number among the fields of each object."""
+        tokens = np.flatnonzero(mask)
+        first: dict[int, int] = {}
+        for owner, number in zip(index.parent[tokens].tolist(), self._numbers(index, tokens), strict=True):
+            if number is not None and owner not in first:
+                first[owner] = number
+        return first
 
 
 def _flatten(ids: list[int], bodies: list[bytes]) -> dict[str, list]:
-    found = _Elements()
-    found.scan(bodies, list(range(len(bodies))), [()] * len(bodies), [None] * len(bodies))
-    columns: dict[str, list] = {name: [] for name in _ARROW.names}
+    elements = _Elements()
+    elements.scan(bodies, list(range(len(bodies))), [()] * len(bodies), [-1] * len(bodies))
+    rows = sorted(elements.rows, key=lambda row: (row[0], row[1]))
     numbers: dict[tuple, int] = {}
     places: dict[tuple, int] = {}
-    for text, place, child, fields, owner in sorted(found.rows, key=lambda row: (row[0], row[1])):
-        number = numbers[text, child] = numbers.get((text, child), 0) + 1
+    ords, parents = [], []
+    for text, place, what, *_, owner in rows:
+        number = numbers[text, what] = numbers.get((text, what), 0) + 1
         places[text, place] = number
-        a_id, b_id = (fields.get("own"), 0) if child == "sat_attrs" else (fields.get("from"), fields.get("to"))
-        for name, value in zip(
-            _ARROW.names,
-            (ids[text], child, number, a_id, b_id, places.get((text, owner)) if owner else None, fields.get("weight"), fields.get("pos")),
-            strict=True,
-        ):
-            columns[name].append(value)
-    return columns
+        ords.append(number)
+        parents.append(places.get((text, owner)) if owner else None)
+    columns = (
+        [ids[r[0]] for r in rows], [CHILDREN[r[2]] for r in rows], ords, [r[4] if r[2] else r[3] for r in rows], [r[5] if r[2] else 0 for r in rows],
+        parents, [r[6] for r in rows], [r[7] for r in rows],
+    )
+    return dict(zip(_ARROW.names, columns, strict=True))
 
 
 def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
