@@ -122,18 +122,15 @@ def _halves(text: str, leaf_chars: int) -> list[str]:
     return _halves(text[:middle], leaf_chars) + _halves(text[middle:], leaf_chars)
 
 
-def encode_texts(texts: list[str | None], path: str, leaf_chars: int = LEAF_CHARS) -> list[list[int]]:
-    """The ids of each text; none for null and empty texts.
+def _encodings(texts: list[str | None], path: str, leaf_chars: int) -> Iterator[tuple[int, Encoded | object]]:
+    """The place and the encoding (with ids) of each text that isn't null or empty.
 
-    The leaves of all texts are encoded in one call; those of a text are then joined pairwise,
-    level by level.
+    Texts of one leaf are encoded in one call. The leaves of a longer one are joined pairwise, level by level.
     """
     tokenizer = _tokenizer(path)
     encode = lambda text: _leaf(text, tokenizer.encode(text, add_special_tokens=False))
-    out: list[list[int]] = [[] for _ in texts]
     short = [i for i, t in enumerate(texts) if t and len(t) <= leaf_chars]
-    for i, encoding in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-        out[i] = encoding.ids
+    yield from zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True)
     for i, text in enumerate(texts):
         if not text or len(text) <= leaf_chars:
             continue
@@ -141,7 +138,22 @@ def encode_texts(texts: list[str | None], path: str, leaf_chars: int = LEAF_CHAR
         level = [_leaf(t, e) for t, e in zip(leaves, tokenizer.encode_batch(leaves, add_special_tokens=False), strict=True)]
         while len(level) > 1:
             level = [join(*level[k : k + 2], encode) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        out[i] = level[0].ids
+        yield i, level[0]
+
+
+def encode_texts(texts: list[str | None], path: str, leaf_chars: int = LEAF_CHARS) -> list[list[int]]:
+    """The ids of each text; none for null and empty texts."""
+    out: list[list[int]] = [[] for _ in texts]
+    for i, encoding in _encodings(texts, path, leaf_chars):
+        out[i] = encoding.ids
+    return out
+
+
+def count_texts(texts: list[str | None], path: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
+    """The number of ids of each text, without making lists of them where the tokenizer can tell it."""
+    out = [0] * len(texts)
+    for i, encoding in _encodings(texts, path, leaf_chars):
+        out[i] = len(encoding.ids) if isinstance(encoding, Encoded) else len(encoding)
     return out
 
 
@@ -222,7 +234,7 @@ def count_tokens(documents: DataFrame, keys: list[str], text: str, path: str | N
         for batch in batches:
             texts = batch.column(len(keys))
             numbers = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], names=["n", "text"])
-            counts = [len(ids) for _, part in _batches(numbers) for ids in encode_texts(part, source())]
+            counts = [n for _, part in _batches(numbers) for n in count_texts(part, source())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(counts, pa.int64())], names=[*keys, "n_tokens"])
 
     return documents.select(*keys, F.col(text)).mapInArrow(run, schema)
