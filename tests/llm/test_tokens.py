@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import pytest
 from tokenizers import Tokenizer
 
-from skyloom.llm.tokens import count_tokens, decode_ids, encode_corpus, encode_texts, tokenizer_path
+from skyloom.llm.tokens import count_texts, count_tokens, decode_ids, encode_corpus, encode_texts, tokenizer_path
 from skyloom.session import local_session
 
 PATH = tokenizer_path()
 
 
-def _whole(text):
+@lru_cache(maxsize=1)
+def _tokenizer():
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids if text else []
+    return tokenizer
+
+
+def _whole(text):
+    return _tokenizer().encode(text, add_special_tokens=False).ids if text else []
 
 
 @pytest.mark.parametrize("leaf", [8, 17, 64])
@@ -30,6 +36,15 @@ def test_the_tree_gives_the_ids_of_the_whole_text(leaf):
     assert [decode_ids(ids, PATH) for ids in found] == [t or "" for t in texts]
 
 
+def test_the_quick_encoder_gives_the_same_ids():
+    from skyloom.llm.tokens import _quick
+
+    assert _quick(PATH) is not None and _quick(PATH.replace("byte_bpe_50k", "word_bpe_49k")) is None
+    draw = random.Random(1)
+    texts = ["".join(chr(draw.choice([draw.randrange(32, 127), draw.randrange(0x4E00, 0x9FFF), draw.randrange(0xA0, 0x2FF), draw.randrange(0x1F300, 0x1F6FF), 32, 10, 39, 9, 0x3000, 0x85])) for _ in range(draw.randrange(300))) for _ in range(300)]
+    assert encode_texts(texts, PATH) == [_whole(t) for t in texts] and count_texts(texts, PATH) == [len(_whole(t)) for t in texts]
+
+
 def test_most_texts_of_the_tree_are_longer_than_a_leaf_in_a_table_too():
     spark = local_session(4, 4)
     rows = [(1, None, "x"), (2, "", "x"), (3, " ", None), (4, "pass " * 3000, "x"), (4, "pass " * 3000, "x"), (None, "it's 5 卫星", "x")]
