@@ -9,14 +9,13 @@ from skyloom.functions.geodesy import ground_sample_distance
 from skyloom.functions.orbits import azimuth_elevation_range, inertial_to_fixed, line_of_sight, off_axis_angle, propagate_j2
 
 
-def propagate(elements: DataFrame, times: DataFrame) -> DataFrame:
-    """object_id, t, and inertial x, y, z (km) of every object at every t (seconds since 1970).
+def propagate(elements: DataFrame, start: int, end: int, step: int) -> DataFrame:
+    """object_id, t, and inertial x, y, z (km) of every object at every t (seconds since 1970) from ``start`` to ``end``.
 
     ``elements``: object_id, epoch (seconds since 1970), a, e, inclination, node, perigee, mean.
-    ``times``: t. The product of objects and times is what is asked for; the smaller side is
-    joined by broadcast only where Spark's own size limit allows it.
+    Each object makes its own times, so nothing is joined.
     """
-    rows = elements.join(times)
+    rows = elements.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).cast("double"))
     x, y, z = propagate_j2(*(F.col(c) for c in ("a", "e", "inclination", "node", "perigee", "mean")), F.col("t") - F.col("epoch"))
     return rows.select("object_id", "t", x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -37,20 +36,26 @@ def samples_to_intervals(samples: DataFrame, keys: list[str], t: str, inside, st
     return hit.withColumn("sk_run", F.col("t") - row * step).groupBy(*keys, "sk_run").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).drop("sk_run")
 
 
-def target_samples(satellites: DataFrame, targets: DataFrame) -> DataFrame:
-    """sat, target, t, azimuth, elevation, range_km and off_nadir at every t the satellites have.
+def target_samples(satellites: DataFrame, targets: DataFrame, most_km: float = 4500.0) -> DataFrame:
+    """sat, target, t, azimuth, elevation, range_km and off_nadir of every satellite and target at most ``most_km`` apart at t.
 
     ``satellites``: object_id, t and Earth-fixed x, y, z in km. ``targets``: target, lat, lon, x, y, z (km).
+    Space is cut into cubes of ``most_km``; a target is looked for in its own and the 26 around it,
+    so that only places near each other meet, by an equi-join on the cube.
     """
-    pairs = satellites.select(F.col("object_id").alias("sat"), "t", *(F.col(a).alias(f"s{a}") for a in "xyz")).join(
-        targets.select("target", "lat", "lon", *(F.col(a).alias(f"g{a}") for a in "xyz"))
-    )
+    cube = lambda axis: F.floor(F.col(axis) / most_km).cast("long")
+    moving = satellites.select(F.col("object_id").alias("sat"), "t", *(F.col(a).alias(f"s{a}") for a in "xyz"), *(cube(a).alias(f"c{a}") for a in "xyz"))
+    around = targets.select("target", "lat", "lon", *(F.col(a).alias(f"g{a}") for a in "xyz"), *(cube(a).alias(f"c{a}") for a in "xyz"))
+    for a in "xyz":
+        around = around.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"c{a}") - 1, F.col(f"c{a}") + 1)))
+    pairs = moving.join(around, [f"c{a}" for a in "xyz"])
     sat, site = (tuple(F.col(f"{p}{a}") for a in "xyz") for p in "sg")
     azimuth, elevation, reach = azimuth_elevation_range(F.col("lat"), F.col("lon"), site, sat)
     down, view = tuple(-c for c in sat), tuple(g - s for g, s in zip(site, sat, strict=True))
-    return pairs.select(
+    rows = pairs.select(
         "sat", "target", "t", azimuth.alias("azimuth"), elevation.alias("elevation"), reach.alias("range_km"), off_axis_angle(down, view).alias("off_nadir")
     )
+    return rows.filter(F.col("range_km") <= most_km)
 
 
 def sensor_access(samples: DataFrame, step: int, most_km: float = 4500.0, cone: tuple[float, float] = (0.0, 90.0), least_elevation: float = 0.0) -> DataFrame:
@@ -70,7 +75,10 @@ def access_details(intervals: DataFrame, samples: DataFrame, factor: float) -> D
 
 
 def mutual_access(ephemeris: DataFrame, step: int) -> DataFrame:
-    """a, b, t0, t1 with a < b: when two satellites see each other past the Earth."""
+    """a, b, t0, t1 with a < b: when two satellites see each other past the Earth.
+
+    All pairs of a moment are asked for; their number follows from the constellation, not from the length of the time.
+    """
     one = ephemeris.select("t", F.col("object_id").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"))
     two = ephemeris.select("t", F.col("object_id").alias("b"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
     seen = line_of_sight(tuple(F.col(f"a{c}") for c in "xyz"), tuple(F.col(f"b{c}") for c in "xyz"))

@@ -30,13 +30,16 @@ def time_grid(intervals: DataFrame, step: int) -> DataFrame:
     return ends.select(F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("t"))
 
 
-def sample_intervals(intervals: DataFrame, step: int) -> DataFrame:
+def sample_intervals(intervals: DataFrame, step: int, until: int | None = None) -> DataFrame:
     """src, dst, t and t0, t1, seq of the first interval (by seq) that holds t, both ends included, for every t of the grid.
 
+    ``until`` ends the grid, so that an interval that lasts for ever makes no more points than the others could.
+
     Each interval is unrolled to its own grid points, so the join of intervals and grid is no
     theta join; the first is taken by an aggregation with partial results in every task.
     """
-    first, last = F.ceil(F.col("t0") / step) * step, F.floor(F.col("t1") / step) * step
+    end = F.col("t1") if until is None else F.least(F.col("t1"), F.lit(float(until)))
+    first, last = F.ceil(F.col("t0") / step) * step, F.floor(end / step) * step
     points = intervals.withColumn("t", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long")))))
     taken = points.groupBy("src", "dst", "t").agg(F.min(F.struct("seq", "t0", "t1")).alias("i"))
     return taken.select("src", "dst", "t", "i.t0", "i.t1", "i.seq")

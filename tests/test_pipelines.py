@@ -278,7 +278,7 @@ def test_rounding_and_the_horizon(spark):
 
 def test_orbits_against_known_facts(spark):
     elements = spark.createDataFrame([("geo", 0.0, 42164.17, 0.0, 0.0, 0.0, 0.0, 10.0), ("ell", 0.0, 12000.0, 0.4, 63.4349, 20.0, 90.0, 0.0)], "object_id string, epoch double, a double, e double, inclination double, node double, perigee double, mean double")
-    moving = access.propagate(elements, spark.range(0, 86_401, 600).select(F.col("id").cast("double").alias("t")))
+    moving = access.propagate(elements, 0, 86_400, 600)
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
     ends = {row["object_id"]: row for row in moving.groupBy("object_id").agg(F.min(r).alias("lo"), F.max(r).alias("hi"), F.count("*").alias("n")).collect()}
     assert ends["geo"]["n"] == 145 and abs(ends["geo"]["lo"] - 42164.17) < 1e-6 and 7200 - 1 <= ends["ell"]["lo"] < 7300 and 16700 < ends["ell"]["hi"] <= 16800 + 1
@@ -309,6 +309,9 @@ def test_access_of_a_passing_satellite(spark):
     assert len(found) == 1 and found[0]["t0"] == 600 - found[0]["t1"] and abs(found[0]["max_elevation"] - 90) < 1e-6 and abs(found[0]["min_range"] - 1000) < 1e-6 and found[0]["gsd"] == 1.0
     two = places.unionByName(places.withColumns({"object_id": F.lit("u"), "x": -F.col("x"), "y": -F.col("y")}))
     assert access.mutual_access(two, 10).collect() == []
+    near = {tuple(r) for r in access.target_samples(places, target, 1100.0).select("t", F.round("range_km", 6)).collect()}
+    far = {tuple(r) for r in samples.filter("range_km <= 1100").select("t", F.round("range_km", 6)).collect()}
+    assert near == far and near
 
 
 # ---- graphs -------------------------------------------------------------------------------------
