@@ -170,7 +170,7 @@ def test_resume_adds_each_record_once(spark, tmp_path):
 
 
 def test_scenario_files(spark, tmp_path):
-    (tmp_path / "Sat1.sa").write_text("stk\nBEGIN Ephemeris\n NumberOfEphemerisPoints 2\n ScenarioEpoch 6 Jul 2025 04:00:00.0\n CoordinateSystem ICRF\n EphemerisTimePosVel\n\n0.0 1.0e+06 2 3 4 5 6\n60 7 8 9 1 2 3\n\nEND Ephemeris\n")
+    (tmp_path / "Sat1.sa").write_text("version 11\nBEGIN Ephemeris\n NumberOfEphemerisPoints 2\n ScenarioEpoch 6 Jul 2025 04:00:00.0\n CoordinateSystem ICRF\n EphemerisTimePosVel\n\n0.0 1.0e+06 2 3 4 5 6\n60 7 8 9 1 2 3\n\nEND Ephemeris\n")
     rows = readers.read_ephemeris(spark, f"{tmp_path}/Sat1.sa").orderBy("t").collect()
     assert [(r["object_id"], r["frame"], r["t"], r["x"], r["vz"]) for r in rows] == [("Sat1", "ICRF", 0.0, 1e6, 6.0), ("Sat1", "ICRF", 60.0, 7.0, 3.0)]
     (tmp_path / "S1.sn").write_text("  InnerConeHalfAngle  5.7e+01\n OuterConeHalfAngle 75\n MaxRange 4500000.0\n")
