@@ -15,7 +15,7 @@ def propagate(elements: DataFrame, start: int, end: int, step: int) -> DataFrame
     ``elements``: object_id, epoch (seconds since 1970), a, e, inclination, node, perigee, mean.
     Each object makes its own times, so nothing is joined.
     """
-    rows = elements.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).cast("double"))
+    rows = elements.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step)))).withColumn("t", F.col("t").cast("double"))
     x, y, z = propagate_j2(*(F.col(c) for c in ("a", "e", "inclination", "node", "perigee", "mean")), F.col("t") - F.col("epoch"))
     return rows.select("object_id", "t", x.alias("x"), y.alias("y"), z.alias("z"))
 
