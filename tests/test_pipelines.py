@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
@@ -398,6 +399,22 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted((r["k"], r["n"]) for r in batch.collect()) == [("a", 1), ("a", 2), ("b", 1)]
 
 
+def test_progress_of_a_stream(spark, tmp_path):
+    progress = streams.Progress()
+    spark.streams.addListener(progress)
+    try:
+        spark.createDataFrame([(datetime(2025, 1, 1), "a")] * 3, "at timestamp, k string").write.parquet(f"{tmp_path}/in")
+        seen: list = []
+        streams.for_each_batch(streams.event_stream(spark, f"{tmp_path}/in", "at timestamp, k string"), lambda batch, n: seen.append(batch.count()), f"{tmp_path}/c").awaitTermination()
+        for _ in range(100):  # listeners are told a little later
+            if progress.rows >= 3:
+                break
+            time.sleep(0.1)
+        assert (sum(seen), progress.rows, progress.failed) == (3, 3, 0) and progress.batches >= 1
+    finally:
+        spark.streams.removeListener(progress)
+
+
 def test_times(spark):
     row = spark.createDataFrame([("6 Jul 2025 04:00:00.123",), ("06 Jul 2025 04:00:00.123",)], "s string").select(times.instant(F.col("s")).alias("t")).select(
         times.iso_text(F.col("t")).alias("iso"), times.epoch_with_millis(F.col("t")).alias("ms"), times.offset_seconds(F.col("t"), datetime(2025, 7, 6, 4)).alias("o")
