@@ -22,7 +22,7 @@ def band_floors(items: DataFrame, group: str, score: str, n: int) -> list[float]
     """
     points = [1.0 - share for share in _SHARES]
     found = items.agg(
-        F.percentile_approx(F.col(f"`{score}`"), points, 10_000).alias("q"), F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.col(f"`{group}`")).alias("groups")
+        F.percentile_approx(F.col(f"`{score}`"), points, 1000).alias("q"), F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.col(f"`{group}`")).alias("groups")
     ).head()
     if not found["rows"]:
         return []
